@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 # Text that stands for a missing number.
 NULL_TOKENS = ["nan", "None", "<NA>", ""]
 
+# Every character that counts as white space around a text.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 LINE_BREAK = r"<br\s*/?>"
 FIRST_NUMBER = r"(\d+\.?\d*)"
 
 
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def _number(text: Column) -> Column:
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     value = F.when(~trimmed.isin(NULL_TOKENS), trimmed).try_cast("double")
     return F.when(~F.isnan(value), value)
 
@@ -44,8 +55,8 @@ def first_number(c: Column) -> Column:
 
 
 def strip_breaks(c: Column) -> Column:
-    """Replace HTML line breaks by a space and trim."""
-    return F.trim(F.regexp_replace(c, LINE_BREAK, " "))
+    """Replace HTML line breaks by a space and strip white space."""
+    return strip(F.regexp_replace(c, LINE_BREAK, " "))
 
 
 def amenity_count(c: Column) -> Column:
