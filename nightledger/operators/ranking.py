@@ -100,3 +100,22 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, kin
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row of every key under a total order."""
     return top_per_group(df, keys, order, 1, "row_number", "_n").drop("_n")
+
+
+def percent_rank_of(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
+    """PERCENT_RANK over all rows: (rank - 1) / (rows - 1), 0 for a single row."""
+    placed = global_positions(df, value, tie)
+    starts = placed.groupBy("dense_rank").agg(F.min("row_number").alias("_rank"))
+    return (
+        placed.join(starts, "dense_rank")
+        .withColumn(
+            name,
+            F.coalesce(
+                F.try_divide(
+                    (F.col("_rank") - 1).cast("double"), (F.col("row_total") - 1).cast("double")
+                ),
+                F.lit(0.0),
+            ),
+        )
+        .drop("dense_rank", "row_number", "row_total", "_rank")
+    )

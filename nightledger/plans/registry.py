@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from nightledger.plans import library, stages
+from nightledger.plans import insights, library, measures, pricing, stages, summary, views
 
-MODULES = [stages, library]
+MODULES = [stages, library, measures, views, summary, insights, pricing]
 
 
 def all_queries() -> dict[str, Callable[..., DataFrame]]:

@@ -37,6 +37,7 @@ class Warehouse:
         self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
         self.root = os.path.join(shared_dir(spark), f"nightledger-{uuid.uuid4().hex}")
         self._stages: dict[str, DataFrame] = {}
+        self.models: set[str] = set()
 
     # Stages that are written, and the column a stage is partitioned by.
     PARTITIONED = {"calendar_clean": "year_month", "fact_calendar": "YearMonth"}
