@@ -457,4 +457,7 @@ def with_blocks(sql: str) -> str:
     if not ordered:
         return sql
     blocks = ",\n".join(f"{n} AS MATERIALIZED ({BLOCKS[n].strip()})" for n in ordered)
-    return f"WITH {blocks}\n{sql.strip()}"
+    body = sql.strip()
+    if body.startswith("WITH "):
+        return f"WITH {blocks},\n{body[5:]}"
+    return f"WITH {blocks}\n{body}"

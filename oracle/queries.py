@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from oracle import library, stages
+from oracle import library, measures, stages, summary, views
 from oracle.ctes import with_blocks
 
-MODULES = [stages, library]
+MODULES = [stages, library, measures, views, summary]
 
 
 def all_sql() -> dict[str, str]:
