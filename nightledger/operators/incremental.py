@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +58,8 @@ def _write_months(df: DataFrame, path: str, mode: str = "static") -> None:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    # a dynamic overwrite leaves no success marker, so the folder itself is looked for
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
