@@ -26,12 +26,12 @@ def strip(c: Column) -> Column:
 def _number(text: Column) -> Column:
     trimmed = strip(text)
     value = F.when(~trimmed.isin(NULL_TOKENS), trimmed).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nullif(value, F.lit(float("nan")))
 
 
 def parse_price(c: Column) -> Column:
     """``$1,250.00`` -> 1250.0."""
-    return _number(F.regexp_replace(c.cast("string"), r"[$,]", ""))
+    return _number(F.translate(c.cast("string"), "$,", ""))
 
 
 def parse_percent(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.numeric import clip, upper_clip
 from nightledger.functions.parsing import first_number, parse_as, parse_price, strip_breaks
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
-from nightledger.operators.ranking import first_per_key
+from nightledger.operators.ranking import first_per_key, first_per_key_wide
 from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY
 
 
@@ -111,13 +111,18 @@ def surviving_listings(typed: DataFrame, order: list[str] | None = None) -> Data
 
 
 def clean_listings(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Raw listings -> typed, filled, deduplicated and capped listings (C17).
+    """Raw listings -> typed, filled, deduplicated and capped listings (C17)."""
+    extra = [c for c in order or [] if c not in LISTING_COLUMNS]
+    return clean_typed_listings(type_listings(raw, also=extra), order)
+
+
+def clean_typed_listings(typed: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The rest of C17 after parsing; give it a written frame, as it is read several times.
 
     The medians come from all typed rows, the price bounds from the surviving ones, so
     both are read from the narrow frames they need rather than from each other's output.
     """
     extra = [c for c in order or [] if c not in LISTING_COLUMNS]
-    typed = type_listings(raw, also=extra)
     kept = surviving_listings(typed, order)
     df = (
         kept.drop(*extra)
@@ -152,14 +157,18 @@ def calendar_price(cal: DataFrame, listing_prices: DataFrame | None = None) -> D
 def fill_listing_median(cal: DataFrame) -> DataFrame:
     """Missing night prices take the listing's own median, then 0 (C14).
 
-    Medians are only computed for listings that have a gap.
+    Medians are computed only for listings that have a gap, and only the unpriced nights
+    are joined with them; priced nights, the bulk, are passed on without a shuffle.
     """
-    gappy = cal.where(F.col("price").isNull()).select("listing_id").distinct()
+    priced = cal.where(F.col("price").isNotNull())
+    gaps = cal.where(F.col("price").isNull())
+    gappy = gaps.select("listing_id").distinct()
     medians = exact_quantiles(
-        cal.join(gappy, "listing_id", "left_semi"), "price", {"_median": 0.5}, by=["listing_id"]
+        priced.join(gappy, "listing_id", "left_semi"), "price", {"_median": 0.5}, by=["listing_id"]
     )
-    filled = F.coalesce("price", F.col("_median").cast(MONEY), F.lit(0).cast(MONEY))
-    return cal.join(medians, "listing_id", "left").withColumn("price", filled).drop("_median")
+    filled = F.coalesce(F.col("_median").cast(MONEY), F.lit(0).cast(MONEY))
+    closed = gaps.join(medians, "listing_id", "left").withColumn("price", filled)
+    return priced.unionByName(closed.drop("_median"))
 
 
 def type_calendar(raw: DataFrame, listing_prices: DataFrame | None = None) -> DataFrame:
@@ -178,11 +187,12 @@ def type_calendar(raw: DataFrame, listing_prices: DataFrame | None = None) -> Da
 
 def clean_calendar(raw: DataFrame, listing_prices: DataFrame | None = None) -> DataFrame:
     """Raw calendar -> typed nights with a price and a known state."""
-    return (
-        type_calendar(raw, listing_prices)
-        .transform(fill_listing_median)
-        .dropna(subset=["date", "available"])
-    )
+    return clean_typed_calendar(type_calendar(raw, listing_prices))
+
+
+def clean_typed_calendar(typed: DataFrame) -> DataFrame:
+    """The rest of C18 after parsing; give it a written frame, as it is read several times."""
+    return fill_listing_median(typed).dropna(subset=["date", "available"])
 
 
 def clean_reviews(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -194,7 +204,7 @@ def clean_reviews(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
     if "comments" in raw.columns:
         columns["comments"] = strip_breaks(F.col("comments"))
     df = raw.withColumns(columns).dropna(subset=["date"])
-    return first_per_key(df, ["id"], _row_order(df, order)) if "id" in df.columns else df
+    return first_per_key_wide(df, ["id"], _row_order(df, order)) if "id" in df.columns else df
 
 
 def dropped_rows(raw_listings: DataFrame, raw_calendar: DataFrame, raw_reviews: DataFrame):

@@ -66,8 +66,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def weekly_rollup(nights: DataFrame) -> DataFrame:
     """Nights, bookings and revenue per listing and week, weeks starting on Monday."""
     booked = F.col("is_available") == 0
+    week_start = F.date_sub("calendar_date", F.weekday("calendar_date"))
     return nights.groupBy(
-        "listing_id", F.date_trunc("week", "calendar_date").cast("date").alias("week_start")
+        "listing_id", week_start.alias("week_start")
     ).agg(
         F.count(F.lit(1)).alias("nights_tracked"),
         F.count_if(booked).alias("nights_booked"),

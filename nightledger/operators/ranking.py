@@ -102,6 +102,25 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return top_per_group(df, keys, order, 1, "row_number", "_n").drop("_n")
 
 
+def first_per_key_wide(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``first_per_key`` for rows with long texts.
+
+    Repeated keys are found on the keys alone. Rows whose key occurs once, normally
+    nearly all, are passed on without being shuffled.
+    """
+    renamed = {c: f"_repeated_{c}" for c in keys}
+    repeated = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1)
+        .drop("_n")
+        .withColumnsRenamed(renamed)
+    )
+    match = [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()]
+    again = first_per_key(df.join(repeated, match, "left_semi"), keys, order)
+    return df.join(repeated, match, "left_anti").unionByName(again)
+
+
 def percent_rank_of(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """PERCENT_RANK over all rows: (rank - 1) / (rows - 1), 0 for a single row."""
     placed = global_positions(df, value, tie)

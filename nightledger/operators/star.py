@@ -128,7 +128,10 @@ def fact_performance(performance: DataFrame, valuation: DataFrame, listings: Dat
 
 
 def fact_calendar(calendar_daily: DataFrame, listings: DataFrame) -> DataFrame:
-    """Nights with keys, IsBooked and BookedRevenue."""
+    """Nights with keys, IsBooked and BookedRevenue.
+
+    YearMonth is the column the written fact is partitioned by.
+    """
     booked = F.col("IsAvailable") == 0
     return (
         _with_keys(calendar_daily, listings)
@@ -143,6 +146,7 @@ def fact_calendar(calendar_daily: DataFrame, listings: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "DateKey": F.date_format("Date", "yyyyMMdd"),
+                "YearMonth": F.date_format("Date", "yyyy-MM"),
                 "IsBooked": F.when(booked, 1).otherwise(0),
                 "BookedRevenue": F.when(booked, F.col("Price")).otherwise(
                     F.lit(0).cast("decimal(10,2)")
@@ -152,18 +156,20 @@ def fact_calendar(calendar_daily: DataFrame, listings: DataFrame) -> DataFrame:
     )
 
 
-def fact_calendar_monthly(fact: DataFrame) -> DataFrame:
-    """The calendar fact pre-summed per listing and month; its columns are additive."""
-    return fact.groupBy(
-        "ListingKey",
-        "HostKey",
-        "NeighbourhoodKey",
-        F.date_format("Date", "yyyy-MM").alias("YearMonth"),
-    ).agg(
-        F.sum("BookedRevenue").alias("BookedRevenue"),
-        F.sum("IsBooked").alias("IsBooked"),
-        F.count(F.lit(1)).alias("Nights"),
+def fact_calendar_monthly(monthly: DataFrame, listings: DataFrame) -> DataFrame:
+    """The calendar fact summed per listing and month, made from the monthly sums.
+
+    The keys are joined to the sums, so the nights themselves are not shuffled for it.
+    Its columns are additive.
+    """
+    sums = monthly.select(
+        F.col("id").alias("listing_id"),
+        F.col("year_month").alias("YearMonth"),
+        F.coalesce("booked_cents", F.lit(0).cast("decimal(10,2)")).alias("BookedRevenue"),
+        F.col("nights_booked").alias("IsBooked"),
+        F.col("nights_tracked").alias("Nights"),
     )
+    return _with_keys(sums, listings).withColumnRenamed("listing_id", "ListingKey")
 
 
 def fact_reviews(reviews: DataFrame, listings: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _raw(w, *columns) -> DataFrame:
 
 
 def _typed(w) -> DataFrame:
-    return clean.type_listings(w["raw_listings"], also=["copy"])
+    return w["listings_typed"]
 
 
 def _folder(w, name: str) -> str:
@@ -167,7 +167,7 @@ def c13_listing_price(w):
 
 
 def c14_fill_night_price(w):
-    return clean.fill_listing_median(clean.type_calendar(w["raw_calendar"])).select(
+    return clean.fill_listing_median(w["calendar_typed"]).select(
         "listing_id", "date", "price"
     )
 

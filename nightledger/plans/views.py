@@ -141,7 +141,7 @@ def v11_neighbourhood_summary(w, where=None):
         m.context(star, m.PERFORMANCE, [AREA, "DimListing.BasePrice"], where or {})
         .groupBy("NeighbourhoodName")
         .agg(
-            F.count_distinct("ListingKey").alias("listing_count"),
+            F.count("ListingKey").alias("listing_count"),
             avg_exact(F.col("BasePrice")).alias("avg_price"),
         )
     )

@@ -78,11 +78,17 @@ class Warehouse:
     def _raw_reviews(self) -> DataFrame:
         return binding.raw_reviews(self.spark, self.sf_dir)
 
+    def _listings_typed(self) -> DataFrame:
+        return clean.type_listings(self["raw_listings"], also=["copy"])
+
     def _listings_clean(self) -> DataFrame:
-        return clean.clean_listings(self["raw_listings"], order=["copy"])
+        return clean.clean_typed_listings(self["listings_typed"], order=["copy"])
+
+    def _calendar_typed(self) -> DataFrame:
+        return clean.type_calendar(self["raw_calendar"])
 
     def _calendar_clean(self) -> DataFrame:
-        nights = clean.clean_calendar(self["raw_calendar"])
+        nights = clean.clean_typed_calendar(self["calendar_typed"])
         return nights.withColumn("year_month", F.date_format("date", "yyyy-MM"))
 
     def _reviews_clean(self) -> DataFrame:
@@ -160,11 +166,10 @@ class Warehouse:
         )
 
     def _fact_calendar(self) -> DataFrame:
-        fact = star.fact_calendar(self["calendar_daily"], self["listings"])
-        return fact.withColumn("YearMonth", F.date_format("Date", "yyyy-MM"))
+        return star.fact_calendar(self["calendar_daily"], self["listings"])
 
     def _fact_calendar_monthly(self) -> DataFrame:
-        return star.fact_calendar_monthly(self["fact_calendar"])
+        return star.fact_calendar_monthly(self["monthly"], self["listings"])
 
     def _fact_reviews(self) -> DataFrame:
         return star.fact_reviews(self["reviews"], self["listings"])

@@ -40,7 +40,17 @@ def small_star(spark, nights, listings=(1, 2, 3, 4)):
         F.lit(1).cast("bigint").alias("NeighbourhoodKey"),
     )
     span = fact.agg(F.min("Date").alias("first_night"), F.max("Date").alias("last_night"))
-    monthly = star.fact_calendar_monthly(fact)
+    sums = fact.groupBy(
+        F.col("ListingKey").alias("id"), F.date_format("Date", "yyyy-MM").alias("year_month")
+    ).agg(
+        F.sum("BookedRevenue").alias("booked_cents"),
+        F.sum("IsBooked").alias("nights_booked"),
+        F.count(F.lit(1)).alias("nights_tracked"),
+    )
+    owners = spark.createDataFrame(
+        [(k, 1, 1) for k in listings], "listing_id bigint, host_id bigint, neighbourhood_id bigint"
+    )
+    monthly = star.fact_calendar_monthly(sums, owners)
     return Tables(
         DimDate=star.dim_date(span),
         DimListing=spark.createDataFrame([(k,) for k in listings], "ListingKey bigint"),
