@@ -11,6 +11,7 @@ from nightledger.functions.numeric import clip, upper_clip
 from nightledger.functions.parsing import first_number, parse_as, parse_price, strip_breaks
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
 from nightledger.operators.ranking import first_per_key, first_per_key_wide
+from nightledger.operators.scalars import with_values
 from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY
 
 
@@ -60,8 +61,7 @@ def fill_medians(df: DataFrame, columns: list[str], source: DataFrame | None = N
         return df
     medians = market_medians(df if source is None else source, present)
     filled = {c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in present}
-    # medians is always one row
-    return df.crossJoin(F.broadcast(medians)).withColumns(filled).drop(*medians.columns)
+    return with_values(df, medians).withColumns(filled).drop(*medians.columns)
 
 
 def flag_and_fill(df: DataFrame, column: str, value: float = 0.0) -> DataFrame:
@@ -101,8 +101,7 @@ def cap_iqr(df: DataFrame, column: str, k: float = 1.5, source: DataFrame | None
         F.col("low").alias("_low"), F.col("high").alias("_high")
     )
     capped = clip(F.col(column), F.col("_low"), F.col("_high")).cast(MONEY)
-    # bounds is always one row
-    return df.crossJoin(F.broadcast(bounds)).withColumn(column, capped).drop("_low", "_high")
+    return with_values(df, bounds).withColumn(column, capped).drop("_low", "_high")
 
 
 def surviving_listings(typed: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from nightledger.functions.labels import (
 from nightledger.functions.numeric import half_up, ratio
 from nightledger.functions.parsing import amenity_count
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
+from nightledger.operators.scalars import with_values
 from nightledger.schemas import CENTS, MONEY, RATE, SUB_SCORES
 
 # Fixed value: nightly price times this is the invented property value.
@@ -95,7 +96,7 @@ def host_experience(df: DataFrame, as_of: str, source: DataFrame | None = None)
     market = (df if source is None else source).select(years.alias("years"))
     median = column_quantiles(market, {"_median": ("years", 0.5)})
     return (
-        df.crossJoin(F.broadcast(median))  # one row
+        with_values(df, median)
         .withColumn("host_experience_years", F.coalesce(years, "_median", F.lit(0.0)))
         .withColumn("host_experience_tier", experience_tier(F.col("host_experience_years")))
         .drop("_median")
@@ -109,7 +110,7 @@ def price_categories(df: DataFrame, source: DataFrame | None = None) -> DataFram
     edges = edges.select(*[F.col(c).cast(MONEY).alias(c) for c in quartiles])
     band = price_category(F.col("price"), F.col("_q1"), F.col("_q2"), F.col("_q3"))
     return (
-        df.crossJoin(F.broadcast(edges))  # one row
+        with_values(df, edges)
         .withColumn("price_category", band)
         .drop(*quartiles)
     )
@@ -177,7 +178,7 @@ def price_per_bedroom(df: DataFrame, source: DataFrame | None = None) -> DataFra
         medians = exact_quantiles(per_room, "_per_room", {name: 0.5}, by=by)
         return df.join(medians.withColumn(name, F.col(name).cast(MONEY)), by, "left")
     median = column_quantiles(per_room, {name: ("_per_room", 0.5)})
-    return df.crossJoin(F.broadcast(median.select(F.col(name).cast(MONEY))))  # one row
+    return with_values(df, median.select(F.col(name).cast(MONEY)))
 
 
 def property_value(df: DataFrame, source: DataFrame | None = None) -> DataFrame:

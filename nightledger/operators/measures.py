@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.labels import OVERPRICED, UNDERPRICED, WELL_PRICED
 from nightledger.functions.numeric import ratio
 from nightledger.operators.ranking import global_positions
+from nightledger.operators.scalars import with_values
 from nightledger.operators.star import RELATIONSHIPS
 
 Where = dict[str, str]
@@ -234,7 +235,7 @@ def evaluate(
 
 def _attach(result: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
-        return result.crossJoin(F.broadcast(frame))  # a total: one row
+        return with_values(result, frame)  # a total
     renamed = frame.withColumnsRenamed({k: f"_{k}" for k in keys})
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return result.join(renamed, match, "left").drop(*[f"_{k}" for k in keys])

@@ -66,6 +66,7 @@ def global_positions(df: DataFrame, value: str, tie: str, descending: bool = Fal
             F.sum("_rows").over(Window.partitionBy()).alias("row_total"),
         )
     )
+    # offsets has one row per range partition, a number the settings bound
     return (
         local.join(F.broadcast(offsets), "_part")
         .withColumn("row_number", F.col("_row") + F.col("_row_offset"))

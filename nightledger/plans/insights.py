@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.labels import UNDERPRICED, WELL_PRICED
 from nightledger.functions.numeric import avg_exact, ratio
 from nightledger.operators.ranking import percent_rank_of
+from nightledger.operators.scalars import with_values
 from nightledger.plans import library
 
 AREA = "neighbourhood_cleansed"
@@ -49,7 +50,7 @@ def neighbourhood_rollup(master: DataFrame) -> DataFrame:
         avg_exact(F.col("review_score_composite")).alias("avg_review"),
     )
     total = sums.agg(F.sum("revenue").alias("all_revenue"))
-    return sums.crossJoin(F.broadcast(total)).select(  # one row
+    return with_values(sums, total).select(
         AREA,
         "listings",
         "revenue",
@@ -72,7 +73,7 @@ def revenue_concentration(master: DataFrame, n: int = 3) -> DataFrame:
     place = F.struct((-F.col("revenue")).alias("r"), F.col(AREA).isNull(), F.col(AREA).alias("name"))
     sums = top.agg(F.sum("revenue").alias("top_revenue"), F.min(place).alias("first"))
     total = market_totals(master).select(F.col("revenue").alias("all_revenue"))
-    return sums.crossJoin(F.broadcast(total)).select(  # one row each
+    return with_values(sums, total).select(
         ratio(F.col("top_revenue"), F.col("all_revenue")).alias("top_share"),
         F.col("first.name").alias("leader"),
     )
@@ -190,7 +191,7 @@ def build(master: DataFrame, monthly: DataFrame) -> DataFrame:
         pricing_flags(master),
         best_roi_area(master).select("best_roi_area"),
     ):
-        facts = facts.crossJoin(F.broadcast(part))  # every part is one row
+        facts = with_values(facts, part)
 
     def number(c: str) -> Column:
         return F.format_number(F.col(c), 0)
@@ -248,8 +249,7 @@ def share_of_top(master: DataFrame, n: int = 3) -> DataFrame:
     order = Window.orderBy(F.desc("revenue"), F.asc_nulls_last(AREA))
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        largest_areas(master, n)
-        .crossJoin(F.broadcast(total))  # one row
+        with_values(largest_areas(master, n), total)
         .select(
             AREA,
             F.row_number().over(order).alias("revenue_rank"),

@@ -22,6 +22,7 @@ from nightledger.functions.labels import (
 )
 from nightledger.functions.numeric import avg_exact, half_up, ratio
 from nightledger.operators.ranking import global_positions, ntile_of, top_per_group
+from nightledger.operators.scalars import with_values
 
 
 def pct1(c: Column) -> Column:
@@ -424,8 +425,7 @@ def q20_executive_summary(w) -> DataFrame:
     )
     listings = w["listings"].agg(F.count(F.lit(1)).alias("total_listings"))
     hosts = w["hosts"].agg(F.count("host_id").alias("total_hosts"))  # one row per host
-    # every side is one row
-    return listings.crossJoin(hosts).crossJoin(perf).crossJoin(best)
+    return with_values(with_values(with_values(listings, hosts), perf), best)
 
 
 def q21_month_over_month_join(w) -> DataFrame:

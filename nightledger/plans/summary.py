@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.labels import WELL_PRICED
 from nightledger.functions.numeric import ratio, ratio_or_zero
+from nightledger.operators.scalars import with_values
 from nightledger.plans import insights
 
 # Fixed value: how a missing neighbourhood is shown.
@@ -81,7 +82,7 @@ def room_mix(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("room_type").agg(F.count(F.lit(1)).alias("listings"))
     total = counts.agg(F.sum("listings").alias("total"))
     return (
-        counts.crossJoin(F.broadcast(total))  # one row
+        with_values(counts, total)
         .select("room_type", "listings", ratio(F.col("listings"), F.col("total")).alias("share"))
         .orderBy(F.desc("listings"), "room_type")
     )

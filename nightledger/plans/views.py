@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.labels import EXPERIENCE_TIERS, WELL_PRICED, review_score_bucket
 from nightledger.functions.numeric import avg_exact, ratio
 from nightledger.operators import measures as m
+from nightledger.operators.scalars import with_values
 from nightledger.plans import library
 
 MONTH = "DimDate.YearMonth"
@@ -59,7 +60,7 @@ def v04_top_neighbourhoods(w, where=None, n: int = 5):
 def v05_superhost_split(w, where=None):
     by_status = m.evaluate(w.star(), ["total_revenue"], ["DimHost.IsSuperhost"], where)
     total = by_status.agg(F.sum("total_revenue").alias("all"))
-    return by_status.crossJoin(F.broadcast(total)).select(  # one row
+    return with_values(by_status, total).select(
         "IsSuperhost", "total_revenue", ratio(F.col("total_revenue"), F.col("all")).alias("share")
     )
 
@@ -81,7 +82,7 @@ def v06_period_toggle(w, where=None):
         )
     )
     return (
-        monthly.crossJoin(F.broadcast(last))  # one row
+        with_values(monthly, last)
         .select("revenue", "booked", "nights", F.explode(periods).alias("period"))
         .groupBy("period")
         .agg(

@@ -35,8 +35,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         given(spark, sf_dir, "orders")
         .join(first_line, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(given(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .crossJoin(F.broadcast(size))
-        .withColumn("wanted_doc", F.col("o_orderkey") % F.col("n_docs"))
+        .withColumn("wanted_doc", F.col("o_orderkey") % size.scalar())
     )
     return orders.join(documents, F.col("wanted_doc") == F.col("doc_id"), "left").select(
         F.col("o_orderkey").cast("string").alias("id"),
