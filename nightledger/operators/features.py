@@ -90,30 +90,40 @@ def experience_years(host_since: Column, as_of: str) -> Column:
     return half_up(days / F.lit(365.25), 1)
 
 
-def host_experience(df: DataFrame, as_of: str, source: DataFrame | None = None) -> DataFrame:
-    """Years as a host, gaps filled with the market median, and the tier."""
+def market_values(listings: DataFrame, as_of: str) -> DataFrame:
+    """One row with the median experience and the price quartiles, found in one pass."""
+    columns, wanted = [], {}
+    if "host_since" in listings.columns:
+        columns.append(experience_years(F.col("host_since"), as_of).alias("years"))
+        wanted["_median"] = ("years", 0.5)
+    if "price" in listings.columns:
+        columns.append(F.col("price"))
+        wanted |= {"_q1": ("price", 0.25), "_q2": ("price", 0.5), "_q3": ("price", 0.75)}
+    values = column_quantiles(listings.select(*columns), wanted)
+    edges = [c for c in values.columns if c.startswith("_q")]
+    return values.withColumns({c: F.col(c).cast(MONEY) for c in edges})
+
+
+def host_experience(df: DataFrame, as_of: str, values: DataFrame | None = None) -> DataFrame:
+    """Years as a host, gaps filled with the market median, and the tier.
+
+    ``values`` is the result of ``market_values``, taken from ``df`` when not given.
+    """
+    values = market_values(df.select("host_since"), as_of) if values is None else values
     years = experience_years(F.col("host_since"), as_of)
-    market = (df if source is None else source).select(years.alias("years"))
-    median = column_quantiles(market, {"_median": ("years", 0.5)})
     return (
-        with_values(df, median)
+        with_values(df, values)
         .withColumn("host_experience_years", F.coalesce(years, "_median", F.lit(0.0)))
         .withColumn("host_experience_tier", experience_tier(F.col("host_experience_years")))
-        .drop("_median")
+        .drop(*values.columns)
     )
 
 
-def price_categories(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def price_categories(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Quartile band of the price over the whole market."""
-    quartiles = {"_q1": ("price", 0.25), "_q2": ("price", 0.5), "_q3": ("price", 0.75)}
-    edges = column_quantiles(df if source is None else source, quartiles)
-    edges = edges.select(*[F.col(c).cast(MONEY).alias(c) for c in quartiles])
+    values = market_values(df.select("price"), "") if values is None else values
     band = price_category(F.col("price"), F.col("_q1"), F.col("_q2"), F.col("_q3"))
-    return (
-        with_values(df, edges)
-        .withColumn("price_category", band)
-        .drop(*quartiles)
-    )
+    return with_values(df, values).withColumn("price_category", band).drop(*values.columns)
 
 
 def stale_flag(days: Column, never_reviewed_is_stale: bool = False) -> Column:
@@ -146,9 +156,9 @@ def composite_score(scores: list[Column]) -> Column:
 def listing_features(
     listings: DataFrame, as_of: str, never_reviewed_is_stale: bool = False
 ) -> DataFrame:
-    df = listings
+    df, values = listings, market_values(listings, as_of)
     if "host_since" in df.columns:
-        df = host_experience(df, as_of, listings)
+        df = host_experience(df, as_of, values)
     else:
         df = df.withColumns(
             {
@@ -156,7 +166,7 @@ def listing_features(
                 "host_experience_tier": F.lit(None).cast("string"),
             }
         )
-    df = price_categories(df, listings).transform(recency, as_of, never_reviewed_is_stale)
+    df = price_categories(df, values).transform(recency, as_of, never_reviewed_is_stale)
     present = [F.col(c) for c in SUB_SCORES if c in df.columns]
     if present:
         df = df.withColumn("review_score_composite", composite_score(present))

@@ -7,17 +7,25 @@ hold the wanted ranks, and only those buckets are opened.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Buckets per e-fold of magnitude; doubles span about 710 e-folds on each side of zero.
 RESOLUTION = 4096
 
+BUCKET = f"CAST(signum(_v) * floor(ln(1 + abs(_v)) * {RESOLUTION}) AS BIGINT)"
+
+
+def _low(p: float) -> str:
+    return f"floor((_total - 1) * {p}D)"
+
 
-def _bucket(v):
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * RESOLUTION)).cast("bigint")
+def _high(p: float) -> str:
+    return f"ceil((_total - 1) * {p}D)"
+
+
+def _holds(rank: str, start: str, size: str) -> str:
+    return f"({rank} >= {start} AND {rank} < {start} + {size})"
 
 
 def exact_quantiles(
@@ -29,75 +37,56 @@ def exact_quantiles(
     are ignored; a group with no value at all gives no row.
     """
     by = by or []
-    v = F.col(value).cast("double")
+    keys = [f"`{c}`" for c in by]
+    group = f"PARTITION BY {', '.join(keys)}" if by else ""
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     # The bucket test repeats what the join below implies, so that both readers of the
     # counts have the same plan and share one shuffle.
-    known = [F.col(c).isNotNull() for c in by]
-    known += [F.col("_v").isNotNull(), ~F.isnan("_v"), _bucket(F.col("_v")).isNotNull()]
+    known = [f"{k} IS NOT NULL" for k in keys]
+    known += ["_v IS NOT NULL", "NOT isnan(_v)", f"{BUCKET} IS NOT NULL"]
     counts = (
-        df.select(*by, v.alias("_v"))
-        .where(reduce(lambda a, b: a & b, known))
+        df.selectExpr(*keys, f"CAST(`{value}` AS DOUBLE) AS _v")
+        .where(" AND ".join(known))
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", _bucket(F.col("_v")))
+        .agg(F.expr("count(1) AS _n"))
+        .selectExpr(*keys, "_v", "_n", f"{BUCKET} AS _bucket")
     )
-    over_group = Window.partitionBy(*by)
-    histogram = (
+    wanted = [_holds(f(p), "_start", "_size") for p in probs.values() for f in (_low, _high)]
+    located = (
         counts.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumn("_total", F.sum("_size").over(over_group))
-        .withColumn(
-            "_start",
-            F.sum("_size").over(
-                over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-            )
-            - F.col("_size"),
+        .agg(F.expr("sum(_n) AS _size"))
+        .selectExpr(
+            *keys,
+            "_bucket",
+            "_size",
+            f"sum(_size) OVER ({group}) AS _total",
+            f"sum(_size) OVER ({group} ORDER BY _bucket {running}) - _size AS _start",
         )
+        .where(" OR ".join(wanted))
+        .drop("_size")
     )
-
-    def low(p):
-        return F.floor((F.col("_total") - 1) * F.lit(p))
-
-    def high(p):
-        return F.ceil((F.col("_total") - 1) * F.lit(p))
-
-    def holds(rank, start, size):
-        return (rank >= F.col(start)) & (rank < F.col(start) + F.col(size))
-
-    wanted = [holds(f(p), "_start", "_size") for p in probs.values() for f in (low, high)]
-    opened = (
-        counts.join(
-            histogram.where(reduce(lambda a, b: a | b, wanted)).drop("_size"), [*by, "_bucket"]
-        )
-        .withColumn(
-            "_end",
-            F.col("_start")
-            + F.sum("_n").over(
-                Window.partitionBy(*by, "_bucket")
-                .orderBy("_v")
-                .rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
-        .withColumn("_first", F.col("_end") - F.col("_n"))
+    opened = counts.join(located, [*by, "_bucket"])
+    if by:
+        # a group holds only its opened buckets now; one shuffle serves both steps below
+        opened = opened.repartition(*by)
+    place = f"{group}, _bucket" if by else "PARTITION BY _bucket"
+    opened = opened.selectExpr(
+        *keys,
+        "_v",
+        "_n",
+        "_total",
+        f"_start + sum(_n) OVER ({place} ORDER BY _v {running}) - _n AS _first",
     )
-
-    def at(rank):
-        return F.max(F.when(holds(rank, "_first", "_n"), F.col("_v")))
-
-    picked = []
-    for name, p in probs.items():
-        picked += [at(low(p)).alias(f"_{name}_lo"), at(high(p)).alias(f"_{name}_hi")]
-    found = opened.groupBy(*by).agg(F.max("_total").alias("_total"), *picked)
-    if not by:
-        found = found.where(F.col("_total").isNotNull())
+    picked = ["max(_total) AS _total"]
     outputs = []
-    for name, p in probs.items():
-        position = (F.col("_total") - 1) * F.lit(p)
-        weight = position - F.floor(position)
-        outputs.append(
-            (F.col(f"_{name}_lo") * (1.0 - weight) + F.col(f"_{name}_hi") * weight).alias(name)
-        )
-    return found.select(*by, *outputs)
+    for i, (name, p) in enumerate(probs.items()):
+        for side, rank in (("lo", _low(p)), ("hi", _high(p))):
+            test = _holds(rank, "_first", "_n")
+            picked.append(f"max(CASE WHEN {test} THEN _v END) AS _{side}{i}")
+        weight = f"((_total - 1) * {p}D - {_low(p)})"
+        outputs.append(f"_lo{i} * (1.0D - {weight}) + _hi{i} * {weight} AS `{name}`")
+    found = opened.groupBy(*by).agg(*[F.expr(x) for x in picked])
+    return found.where("_total IS NOT NULL").selectExpr(*keys, *outputs)
 
 
 def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -107,15 +96,13 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Dat
     """
     columns = sorted({column for column, _ in wanted.values()})
     probs = {f"q{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
-    cells = [
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns
-    ]
-    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.name", "cell.v")
+    cells = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {cells}) AS (name, v)")
     found = exact_quantiles(long, "v", probs, by=["name"])
     name_of = {p: q for q, p in probs.items()}
     return found.agg(
         *[
-            F.max(F.when(F.col("name") == column, F.col(name_of[p]))).alias(output)
+            F.expr(f"max(CASE WHEN name = '{column}' THEN {name_of[p]} END) AS `{output}`")
             for output, (column, p) in wanted.items()
         ]
     )
