@@ -106,14 +106,3 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> Dat
             for output, (column, p) in wanted.items()
         ]
     )
-
-
-def approx_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None, accuracy=10000
-) -> DataFrame:
-    """Sketch-based alternative with the same output shape, without interpolation."""
-    aggregates = [
-        F.percentile_approx(F.col(value).cast("double"), p, accuracy).alias(name)
-        for name, p in probs.items()
-    ]
-    return df.groupBy(*(by or [])).agg(*aggregates)

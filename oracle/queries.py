@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from oracle import library, measures, stages, summary, texts, views
+from oracle import library, measures, pricing, stages, summary, texts, views
 from oracle.ctes import with_blocks
 
-MODULES = [stages, library, measures, views, summary, texts]
+MODULES = [stages, library, measures, views, summary, texts, pricing]
 
 
 def all_sql() -> dict[str, str]:

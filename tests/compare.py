@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -76,12 +77,16 @@ def main(sf_dir: str, *wanted: str) -> None:
     import __spark_entry__ as e
     from nightledger.session import build_session
 
+    # COMPARE_CONF="key=value,key=value" adds session settings, e.g. to switch broadcasts off
+    pairs = os.environ.get("COMPARE_CONF", "")
+    extra = dict(p.split("=", 1) for p in pairs.split(",") if p)
     spark = build_session(
         master="local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "10g",
             "spark.ui.showConsoleProgress": "false",
+            **extra,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
