@@ -132,7 +132,7 @@ def uniqueness_audit(tables: Tables) -> DataFrame:
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str, rule: str):
     """Child rows whose key has no parent row; the child is reduced to its keys first."""
     keys = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    lost = keys.join(parent.select(key).distinct(), key, "left_anti")
+    lost = keys.join(parent.select(key), key, "left_anti")
     return lost.agg(
         F.lit(name).alias("table_name"),
         F.lit(rule).alias("rule"),

@@ -16,7 +16,7 @@ from nightledger.operators.ranking import global_positions
 from nightledger.operators.scalars import with_values
 from nightledger.operators.star import RELATIONSHIPS
 
-Where = dict[str, str]
+Where = dict[str, str | list[str]]
 
 CALENDAR = "FactCalendarDaily"
 # Date columns that are constant within a month, and those that are not.
@@ -117,8 +117,18 @@ def _split(by: list[str]) -> dict[str, list[str]]:
     return grouped
 
 
-def _month_grain(columns: list[str], predicate: str | None) -> bool:
-    return set(columns) <= set(MONTH_COLUMNS) and not DAY_COLUMNS.search(predicate or "")
+def _predicates(where: Where, dim: str) -> list[str]:
+    given = where.get(dim, [])
+    return [given] if isinstance(given, str) else given
+
+
+def _filtered(members: DataFrame, where: Where, dim: str) -> DataFrame:
+    return reduce(DataFrame.where, _predicates(where, dim), members)
+
+
+def _month_grain(columns: list[str], where: Where) -> bool:
+    by_day = any(DAY_COLUMNS.search(p) for p in _predicates(where, "DimDate"))
+    return set(columns) <= set(MONTH_COLUMNS) and not by_day
 
 
 def context(star, fact: str, by: list[str], where: Where, keys: list[str] = ()) -> DataFrame:
@@ -130,11 +140,8 @@ def context(star, fact: str, by: list[str], where: Where, keys: list[str] = ())
     """
     links, wanted = _links(fact), _split(by)
     if fact == "DimListing":
-        rows = star["DimListing"]
-        return rows.where(where["DimListing"]) if "DimListing" in where else rows
-    monthly = fact == CALENDAR and _month_grain(
-        wanted.get("DimDate", []), where.get("DimDate")
-    )
+        return _filtered(star["DimListing"], where, "DimListing")
+    monthly = fact == CALENDAR and _month_grain(wanted.get("DimDate", []), where)
     if monthly:
         rows = star["FactCalendarMonthly"]
         links["DimDate"] = ("YearMonth", "YearMonth")
@@ -147,11 +154,10 @@ def context(star, fact: str, by: list[str], where: Where, keys: list[str] = ())
         columns = [c for c in wanted.get(dim, []) if c not in rows.columns]
         if not columns and dim not in where:
             continue
-        members = star[dim].select(*MONTH_COLUMNS).distinct() if (
-            monthly and dim == "DimDate"
-        ) else star[dim]
-        if dim in where:
-            members = members.where(where[dim])
+        members = star[dim]
+        if monthly and dim == "DimDate":
+            members = members.select(*MONTH_COLUMNS).distinct()
+        members = _filtered(members, where, dim)
         keys = {fact_key: key}
         if dim == "DimDate" and not monthly and fact == CALENDAR:
             # the month lets a date filter skip whole partitions of the nights
@@ -204,6 +210,8 @@ def evaluate(
 ) -> DataFrame:
     """Measures grouped by ``Dim.Column`` names under per-dimension SQL predicates.
 
+    ``where`` maps a dimension to one predicate or to a list that must all hold.
+
     Filters flow from a dimension to its facts only: a fact that has no relation to a
     dimension ignores its filter and repeats its value along its columns.
     """
@@ -243,8 +251,8 @@ def _attach(result: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
 
 def superhost_share(star, by: list[str], where: Where) -> DataFrame:
     """Superhost revenue over revenue, whatever superhost filter is set."""
-    if "IsSuperhost" in where.get("DimHost", ""):
-        where = {k: v for k, v in where.items() if k != "DimHost"}
+    kept = [p for p in _predicates(where, "DimHost") if "IsSuperhost" not in p]
+    where = {k: v for k, v in where.items() if k != "DimHost"} | ({"DimHost": kept} if kept else {})
     rows = context(star, CALENDAR, [*by, "DimHost.IsSuperhost"], where)
     keys = _names(by)
     sums = rows.groupBy(*keys).agg(
@@ -278,7 +286,7 @@ def time_measures(star, names: list[str], by: list[str], where: Where) -> DataFr
     the months they are compared with are always taken from the whole calendar.
     """
     dates = [b for b in by if b.startswith("DimDate.")]
-    if len(dates) != 1 or not _month_grain(_names(dates), where.get("DimDate")):
+    if len(dates) != 1 or not _month_grain(_names(dates), where):
         raise ValueError("time measures need one month-based date column and filter")
     axis = _names(dates)[0]
     others = [b for b in by if b not in dates]
@@ -310,9 +318,7 @@ def time_measures(star, names: list[str], by: list[str], where: Where) -> DataFr
             ]
         )
     )
-    months = star["DimDate"]
-    if "DimDate" in where:
-        months = months.where(where["DimDate"])
+    months = _filtered(star["DimDate"], where, "DimDate")
     labels = [axis] if axis == "YearMonth" else [axis, "YearMonth"]
     months = months.select(*labels).distinct().withColumn("m", month_index(F.col("YearMonth")))
     seen = spread.join(months, "m")
@@ -367,9 +373,7 @@ def listing_revenue_rank(star, where: Where | None = None) -> DataFrame:
         .groupBy("ListingKey")
         .agg(F.sum("BookedRevenue").alias("rev"))
     )
-    members = star["DimListing"]
-    if "DimListing" in where:
-        members = members.where(where["DimListing"])
+    members = _filtered(star["DimListing"], where, "DimListing")
     how = "inner" if set(where) - {"DimListing"} else "left"
     ranked = members.select("ListingKey").join(revenue, "ListingKey", how)
     ranked = ranked.select(
@@ -394,9 +398,7 @@ def neighbourhood_revenue_rank(star, where: Where | None = None) -> DataFrame:
         .groupBy("NeighbourhoodKey")
         .agg(F.sum("BookedRevenue").alias("rev"))
     )
-    members = star["DimNeighbourhood"]
-    if "DimNeighbourhood" in where:
-        members = members.where(where["DimNeighbourhood"])
+    members = _filtered(star["DimNeighbourhood"], where, "DimNeighbourhood")
     rows = members.join(revenue, "NeighbourhoodKey", "left").select(
         "NeighbourhoodKey",
         "NeighbourhoodName",

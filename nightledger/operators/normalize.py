@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.numeric import half_up
 from nightledger.operators.features import VALUE_MULTIPLIER
-from nightledger.operators.ranking import first_per_key, global_positions
+from nightledger.operators.ranking import first_per_key, global_row_numbers
 from nightledger.schemas import TABLES
 
 
@@ -40,7 +40,7 @@ def neighbourhoods(master: DataFrame) -> DataFrame:
         chosen.alias("neighbourhood_group")
     )
     name = F.col("neighbourhood_name")
-    placed = global_positions(
+    placed = global_row_numbers(
         names.withColumn("_order", F.struct(name.isNull().cast("int"), name)), "_order", "_order"
     )
     return placed.withColumn("neighbourhood_id", F.col("row_number")).transform(

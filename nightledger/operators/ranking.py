@@ -1,8 +1,8 @@
 """Global row numbers, dense ranks and NTILE without a single-task window.
 
-Rows are range-partitioned on the full order and written to the shared checkpoint
-folder, so that the partition borders are fixed. Each partition numbers its own rows;
-one small frame with a row per partition carries the offsets.
+Rows are range-partitioned on the full order, sorted, and written to the shared
+checkpoint folder, so that the partition borders are fixed. The place of a row within its
+partition comes with the write; one small frame with a row per partition carries the offsets.
 """
 
 from __future__ import annotations
@@ -13,24 +13,67 @@ from pyspark.sql import functions as F
 from nightledger.session import shared_dir
 
 
-def global_positions(df: DataFrame, value: str, tie: str, descending: bool = False) -> DataFrame:
-    """Add ``row_number``, ``dense_rank`` and ``row_total`` over (value, tie).
+# monotonically_increasing_id keeps the partition above this bit and the row below it
+PART_BIT = 33
+
+
+def _placed(df: DataFrame, value: str, tie: str, descending: bool) -> DataFrame:
+    """Rows in global order over range partitions, with borders fixed on disk.
 
-    ``tie`` must be unique, so that many equal values still spread over partitions.
+    Adds ``_part`` and ``_row``, the 1-based place within the partition. ``tie`` must be
+    unique, so that many equal values still spread over partitions.
     """
     shared_dir(df.sparkSession)
     key = F.col(value).desc() if descending else F.col(value).asc()
     order = [key, F.col(tie).asc()]
-    placed = (
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    numbered = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .checkpoint()
     )
-    within = Window.partitionBy("_part")
-    local = placed.withColumn("_row", F.row_number().over(within.orderBy(*order))).withColumn(
-        "_dense", F.dense_rank().over(within.orderBy(key))
+    within = F.col("_place").bitwiseAND(F.lit((1 << PART_BIT) - 1)) + 1
+    return numbered.select(
+        *df.columns, F.shiftright("_place", PART_BIT).alias("_part"), within.alias("_row")
+    )
+
+
+def _with_offsets(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    # offsets has one row per range partition, a number the settings bound
+    return rows.join(F.broadcast(offsets), "_part")
+
+
+def global_row_numbers(
+    df: DataFrame, value: str, tie: str, descending: bool = False
+) -> DataFrame:
+    """Add ``row_number`` and ``row_total`` over (value, tie)."""
+    placed = _placed(df, value, tie, descending)
+    # One row per partition: the windows are as small as the partition count.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(Window.partitionBy()).alias("row_total"),
+        )
+    )
+    numbered = _with_offsets(placed, offsets)
+    row_number = F.col("_row") + F.col("_offset")
+    return numbered.select(*df.columns, row_number.alias("row_number"), "row_total")
+
+
+def global_positions(df: DataFrame, value: str, tie: str, descending: bool = False) -> DataFrame:
+    """Add ``row_number``, ``dense_rank`` and ``row_total`` over (value, tie)."""
+    placed = _placed(df, value, tie, descending)
+    key = F.col(value).desc() if descending else F.col(value).asc()
+    local = placed.withColumn(
+        "_dense", F.dense_rank().over(Window.partitionBy("_part").orderBy(key))
     )
     first, last = (F.max, F.min) if descending else (F.min, F.max)
     per_part = local.groupBy("_part").agg(
-        F.max("_row").alias("_rows"),
+        F.count(F.lit(1)).alias("_rows"),
         F.max("_dense").alias("_values"),
         first(value).alias("_first"),
         last(value).alias("_last"),
@@ -66,12 +109,11 @@ def global_positions(df: DataFrame, value: str, tie: str, descending: bool = Fal
             F.sum("_rows").over(Window.partitionBy()).alias("row_total"),
         )
     )
-    # offsets has one row per range partition, a number the settings bound
-    return (
-        local.join(F.broadcast(offsets), "_part")
-        .withColumn("row_number", F.col("_row") + F.col("_row_offset"))
-        .withColumn("dense_rank", F.col("_dense") + F.col("_dense_offset"))
-        .drop("_part", "_row", "_dense", "_row_offset", "_dense_offset")
+    return _with_offsets(local, offsets).select(
+        *df.columns,
+        (F.col("_row") + F.col("_row_offset")).alias("row_number"),
+        (F.col("_dense") + F.col("_dense_offset")).alias("dense_rank"),
+        "row_total",
     )
 
 

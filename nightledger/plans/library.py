@@ -21,7 +21,7 @@ from nightledger.functions.labels import (
     sort_position,
 )
 from nightledger.functions.numeric import avg_exact, half_up, ratio
-from nightledger.operators.ranking import global_positions, ntile_of, top_per_group
+from nightledger.operators.ranking import global_row_numbers, ntile_of, top_per_group
 from nightledger.operators.scalars import with_values
 
 
@@ -186,7 +186,8 @@ def q06_pricing_urgency(w, n: int = 5) -> DataFrame:
 
 
 def q07_revpar_quartile(w) -> DataFrame:
-    placed = global_positions(performing(w).select("listing_id", "revpar"), "revpar", "listing_id")
+    rows = performing(w).select("listing_id", "revpar")
+    placed = global_row_numbers(rows, "revpar", "listing_id")
     return placed.select(
         "listing_id",
         "revpar",

@@ -82,6 +82,8 @@ def test_global_positions(spark, descending, partitions):
     expected = {i: (n + 1, distinct.index(v) + 1) for n, (i, v) in enumerate(order)}
     assert {r.id: (r.row_number, r.dense_rank) for r in placed} == expected
     assert {r.row_total for r in placed} == {len(values)}
+    numbered = ranking.global_row_numbers(df, "v", "id", descending).collect()
+    assert {r.id: r.row_number for r in numbered} == {i: n for i, (n, _) in expected.items()}
 
 
 def test_many_partitions_keep_ranks(spark):
@@ -102,7 +104,7 @@ def test_many_partitions_keep_ranks(spark):
 @pytest.mark.parametrize("n, sizes", [(10, [3, 3, 2, 2]), (3, [1, 1, 1]), (8, [2, 2, 2, 2])])
 def test_ntile_sizes(spark, n, sizes):
     df = spark.range(n).select((F.col("id") * 1.0).alias("v"), "id")
-    placed = ranking.global_positions(df, "v", "id")
+    placed = ranking.global_row_numbers(df, "v", "id")
     tile = ranking.ntile_of(F.col("row_number"), F.col("row_total"), 4)
     counts = placed.groupBy(tile.alias("t")).count().orderBy("t").collect()
     assert [r["count"] for r in counts] == sizes

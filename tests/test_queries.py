@@ -151,6 +151,12 @@ def test_superhost_share_ignores_its_own_filter(w):
         star, ["superhost_revenue_share"], [], {"DimHost": "IsSuperhost = 1"}
     ).first()[0]
     assert plain == filtered
+    tier = "ExperienceTier <> 'none'"
+    kept = measures.evaluate(
+        star, ["superhost_revenue_share"], [], {"DimHost": ["IsSuperhost = 1", tier]}
+    ).first()[0]
+    known = measures.evaluate(star, ["superhost_revenue_share"], [], {"DimHost": tier}).first()[0]
+    assert kept == known
     by_status = measures.evaluate(
         star, ["total_revenue", "superhost_revenue_share"], ["DimHost.IsSuperhost"]
     ).collect()
