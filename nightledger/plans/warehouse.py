@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators import clean, features, normalize, star
-from nightledger.schemas import TABLES, with_provenance
+from nightledger.schemas import LISTING_COLUMNS, TABLES, with_provenance
 from nightledger.session import shared_dir
 from nightledger.sources import binding
+from nightledger.sources.files import read_raw_csv
 from nightledger.sources.tables import read_stage, write_stage
 
 STAR = {
@@ -33,9 +34,19 @@ STAR = {
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = binding.AS_OF):
-        self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
-        self.root = os.path.join(shared_dir(spark), f"nightledger-{uuid.uuid4().hex}")
+    """``raw`` gives the raw listings, calendar and reviews by name; ``order`` names the
+    columns that state the file order of listings and reviews, where there are any."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        raw: Callable[[str], DataFrame],
+        as_of: str,
+        order: dict[str, list[str]] | None = None,
+        root: str | None = None,
+    ):
+        self.spark, self.raw, self.as_of, self.order = spark, raw, as_of, order or {}
+        self.root = root or os.path.join(shared_dir(spark), f"nightledger-{uuid.uuid4().hex}")
         self._stages: dict[str, DataFrame] = {}
         self.models: set[str] = set()
 
@@ -66,33 +77,54 @@ class Warehouse:
         """The eight normalised tables."""
         return {t: self[t] for t in TABLES}
 
-    def star(self) -> Star:
+    def star(self) -> "Star":
         return Star(self)
 
+    @classmethod
+    def of_tables(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
+        """Over the given star-schema tables, shaped into raw files first."""
+        order = {"listings": ["copy"], "reviews": ["date"]}
+        return cls(spark, lambda name: binding.RAW[name](spark, sf_dir), binding.AS_OF, order)
+
+    @classmethod
+    def of_files(
+        cls, spark: SparkSession, paths: dict[str, str], as_of: str, root: str | None = None
+    ) -> Warehouse:
+        """Over raw CSV files: listings, calendar, reviews."""
+
+        def read(name: str) -> DataFrame:
+            return read_raw_csv(spark, paths[name], multiline=name != "calendar")
+
+        return cls(spark, read, as_of, root=root)
+
     def _raw_listings(self) -> DataFrame:
-        return binding.raw_listings(self.spark, self.sf_dir)
+        return self.raw("listings")
 
     def _raw_calendar(self) -> DataFrame:
-        return binding.raw_calendar(self.spark, self.sf_dir)
+        return self.raw("calendar")
 
     def _raw_reviews(self) -> DataFrame:
-        return binding.raw_reviews(self.spark, self.sf_dir)
+        return self.raw("reviews")
 
     def _listings_typed(self) -> DataFrame:
-        return clean.type_listings(self["raw_listings"], also=["copy"])
+        extra = [c for c in self.order.get("listings", []) if c not in LISTING_COLUMNS]
+        return clean.type_listings(self["raw_listings"], also=extra)
 
     def _listings_clean(self) -> DataFrame:
-        return clean.clean_typed_listings(self["listings_typed"], order=["copy"])
+        return clean.clean_typed_listings(self["listings_typed"], self.order.get("listings"))
 
     def _calendar_typed(self) -> DataFrame:
-        return clean.type_calendar(self["raw_calendar"])
+        raw, own = self["raw_calendar"], None
+        if not {"price", "adjusted_price"} & set(raw.columns):
+            own = self["listings_clean"].select("id", "price")
+        return clean.type_calendar(raw, own).drop("adjusted_price")
 
     def _calendar_clean(self) -> DataFrame:
         nights = clean.clean_typed_calendar(self["calendar_typed"])
         return nights.withColumn("year_month", F.date_format("date", "yyyy-MM"))
 
     def _reviews_clean(self) -> DataFrame:
-        return clean.clean_reviews(self["raw_reviews"], order=["date"])
+        return clean.clean_reviews(self["raw_reviews"], self.order.get("reviews"))
 
     def _monthly(self) -> DataFrame:
         return features.monthly_sums(self["calendar_clean"])
@@ -195,7 +227,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The warehouse of this application and input folder."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _open:
-        _open[key] = Warehouse(spark, sf_dir)
+        _open[key] = Warehouse.of_tables(spark, sf_dir)
     return _open[key]
 
 
