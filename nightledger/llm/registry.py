@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import dart_minhash, decontaminate, language_id, sharding
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,12 @@ def shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    known = [language_id.op10_language_id]
+    known = [
+        decontaminate.op1_decontaminate,
+        dart_minhash.op6_near_duplicates,
+        sharding.op9_shards,
+        language_id.op10_language_id,
+    ]
     return {f.__name__: shipped(f) for f in known}
 
 

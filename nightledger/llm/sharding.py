@@ -11,7 +11,8 @@
    that key that hold about ``BIN_ROWS`` rows, plus the rows of the bins before.
 
 Law ``rows``: shard sizes are exact and differ by one at most, the first shards being the
-larger. Any assignment with these sizes is equally likely, given the generator. The seed
+larger. Any assignment with these sizes is equally likely, given the generator (where more
+than a billion rows meet in one draw, up to the normal approximation of its count). The seed
 fixes the draws for a given partitioning of the input.
 
 Defined cases: null and empty texts have one byte (their end) and checksum 0; repeated rows
@@ -57,14 +58,13 @@ def matrix(sizes: list[int], columns: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(draw, good: int, bad: int, sample: int) -> int:
-    """numpy's law, in halves where a count exceeds its limit of 1e9."""
+    """numpy's draw; its normal approximation where a count exceeds numpy's limit of 1e9."""
     if not good or not sample:
         return 0
     if good + bad == sample:
         return good
     if max(good, bad, sample) < 1_000_000_000:
         return int(draw.hypergeometric(good, bad, sample))
-    # beyond the limit the normal law is exact to the generator's resolution
     n = good + bad
     mean = sample * good / n
     spread = np.sqrt(mean * (bad / n) * ((n - sample) / max(n - 1, 1)))
