@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dart_minhash, decontaminate, language_id, sharding
-from .shipping import ship
-
-Query = Callable[[SparkSession, str], DataFrame]
+import corpus_pipeline
 
+from . import dart_minhash, decontaminate, language_id, mixing, sharding
+from .shipping import shipped
 
-def shipped(query: Query) -> Query:
-    @functools.wraps(query)
-    def run(spark: SparkSession, *args) -> DataFrame:
-        ship(spark)
-        return query(spark, *args)
-
-    return run
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     known = [
         decontaminate.op1_decontaminate,
+        mixing.op3_mixing,
         dart_minhash.op6_near_duplicates,
         sharding.op9_shards,
         language_id.op10_language_id,
     ]
-    return {f.__name__: shipped(f) for f in known}
+    own = {f.__name__: shipped(f) for f in known}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE_SQL}

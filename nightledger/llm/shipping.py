@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -30,3 +32,14 @@ def ship(spark: SparkSession) -> None:
         f.write(held.getvalue())
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, after its session has the package."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
