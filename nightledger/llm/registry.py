@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import dart_minhash, decontaminate, language_id, mixing, sharding
+from . import (
+    dart_minhash,
+    decontaminate,
+    language_id,
+    mixing,
+    one_bit_ann,
+    personal_data,
+    sharding,
+    url_filter,
+)
 from .shipping import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +26,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     known = [
         decontaminate.op1_decontaminate,
+        one_bit_ann.op2_nearest,
         mixing.op3_mixing,
         dart_minhash.op6_near_duplicates,
+        personal_data.op7_personal_data,
+        url_filter.op8_url_filter,
         sharding.op9_shards,
         language_id.op10_language_id,
     ]
@@ -27,4 +39,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL}
+    return {"op2_nearest": one_bit_ann.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}
