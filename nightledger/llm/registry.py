@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (
+    chaining,
     dart_minhash,
     decontaminate,
     language_id,
     mixing,
     one_bit_ann,
     personal_data,
+    pseudo_likelihood,
     sharding,
     url_filter,
 )
@@ -28,6 +30,8 @@ def queries() -> dict[str, Query]:
         decontaminate.op1_decontaminate,
         one_bit_ann.op2_nearest,
         mixing.op3_mixing,
+        chaining.op4_repeated_passages,
+        pseudo_likelihood.op5_pseudo_likelihood,
         dart_minhash.op6_near_duplicates,
         personal_data.op7_personal_data,
         url_filter.op8_url_filter,
