@@ -44,10 +44,9 @@ BROADCAST_ROWS = 500_000
 
 def domain(source: Column) -> Column:
     """The given tables have no domain: numbered sources stand for three in turn."""
-    number = F.regexp_extract(source, "([0-9]{1,9})$", 1)
-    names = F.array(*[F.lit(x) for x in ("web", "books", "forums")])
-    at = F.when(number != "", number.cast("int") % 3 + 1)
-    return F.coalesce(F.element_at(names, at), F.lit(UNKNOWN))
+    number = F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("int") % 3
+    name = F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "forums")
+    return F.coalesce(name, F.lit(UNKNOWN))
 
 
 def tokens(text: Column) -> Column:
