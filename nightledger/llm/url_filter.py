@@ -132,12 +132,15 @@ def train(rows: DataFrame, alpha: float = 0.5) -> tuple[float, np.ndarray]:
     ratio = np.zeros(BUCKETS)
     if not yes:
         return -math.inf, ratio
-    counts = np.full((2, BUCKETS), alpha)
+    counts = np.zeros((2, BUCKETS))
     seen = rows.select("block", F.explode("buckets").alias("b")).groupBy("b", "block").agg(F.count("*").alias("n"))
     for r in seen.collect():
         counts[int(r["block"]), r["b"]] += r["n"]
+    known = counts.sum(axis=0) > 0  # a bucket without an example says nothing
+    counts = counts[:, known] + alpha
     counts /= counts.sum(axis=1, keepdims=True)
-    return math.log(yes / max(no, alpha)), np.log(counts[1] / counts[0])
+    ratio[known] = np.log(counts[1] / counts[0])
+    return math.log(yes / max(no, alpha)), ratio
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = tuple(RULES)) -> DataFrame:
