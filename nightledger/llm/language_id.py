@@ -128,7 +128,7 @@ class Model:
         point, text, place = _characters(texts)
         size = np.bincount(text, minlength=len(texts))
         out = np.zeros((len(texts), len(self.languages)))
-        if not len(point):
+        if not len(point) or not self.languages:
             return out, size
         values = [_values(point, place, back) for back in range(self.order)]
         row = self.grams[-1].find(_hash(values, self.order))
