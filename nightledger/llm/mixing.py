@@ -89,7 +89,7 @@ def budgets(leaves: DataFrame, share: float, epochs: int, weights: dict[str, dic
     for name in LEVELS:
         nodes = room.groupBy(*held, name).agg(F.sum("room").alias("room"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(F.col(name), weights[name]))
-        nodes = nodes.join(given, held) if held else nodes.join(F.broadcast(given), F.lit(True))
+        nodes = nodes.join(given, held) if held else nodes.withColumn("given", given.scalar())
         nodes = fill(nodes, held, name)
         held = [*held, name]
         given = nodes.select(*held, "given")
