@@ -11,14 +11,27 @@ import os
 
 from pyspark.sql import SparkSession
 
-from nightledger.plans import insights
+from nightledger.operators import audit
+from nightledger.plans import insights, library
 from nightledger.plans.warehouse import Warehouse
 from nightledger.session import build_session
 from nightledger.sources import files, tables
 
 
-def run(spark: SparkSession, paths: dict[str, str], out: str, as_of: str) -> Warehouse:
+# Nights and reviews of listings that were dropped for lack of a price stay in their tables.
+ALLOWED = {("calendar_daily", "listing_id in listings"), ("reviews", "listing_id in listings")}
+
+
+def run(
+    spark: SparkSession,
+    paths: dict[str, str],
+    out: str,
+    as_of: str,
+    allowed: set[tuple[str, str]] = frozenset(ALLOWED),
+) -> Warehouse:
+    """Nothing is exported when a rule is broken that is not in ``allowed``."""
     w = Warehouse.of_files(spark, paths, as_of, root=os.path.join(out, "stages"))
+    audit.enforce(audit.gate_report(w.tables(), library.q16_month_coverage(w)), set(allowed))
     files.export_tables(w.tables(), os.path.join(out, "load"))
     pack = insights.build(w["master"], w["monthly_agg"])
     tables.write_csv(pack.drop("position"), os.path.join(out, "business_insights"))
@@ -32,9 +45,13 @@ def main() -> None:
     for name in ("listings", "calendar", "reviews", "out"):
         parser.add_argument(f"--{name}", required=True)
     parser.add_argument("--as-of", default=dt.date.today().isoformat())
+    parser.add_argument(
+        "--allow", action="append", default=[], metavar="TABLE:RULE", help="rule that may be broken"
+    )
     args = parser.parse_args()
+    allowed = ALLOWED | {tuple(x.split(":", 1)) for x in args.allow}
     paths = {name: getattr(args, name) for name in ("listings", "calendar", "reviews")}
-    run(build_session(), paths, args.out, args.as_of)
+    run(build_session(), paths, args.out, args.as_of, allowed)
 
 
 if __name__ == "__main__":

@@ -39,9 +39,15 @@ def parse_percent(c: Column) -> Column:
     return _number(F.replace(c.cast("string"), F.lit("%"), F.lit("")))
 
 
+# Forms of a date that are tried in turn, after the ISO form; months stand before days.
+DATE_FORMATS = ["yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy"]
+
+
 def parse_date(c: Column) -> Column:
-    """C03."""
-    return c.try_cast("date")
+    """The first of the listed forms that a text has, else NULL."""
+    text = strip(c.cast("string"))
+    forms = [F.try_to_timestamp(text, F.lit(form)).cast("date") for form in DATE_FORMATS]
+    return F.coalesce(c.try_cast("date"), *forms)
 
 
 def parse_flag(c: Column) -> Column:

@@ -210,10 +210,14 @@ def dropped_rows(raw_listings: DataFrame, raw_calendar: DataFrame, raw_reviews:
     """Rows each cleaning step removes, one row per step."""
     listings = type_listings(raw_listings).select("id", "price")
     nights = raw_calendar.select(
+        F.col("date").alias("written"),
         parse_as(F.col("date"), "date").alias("date"),
         parse_as(F.col("available"), "flag").alias("available"),
     )
-    reviews = raw_reviews.select("id", parse_as(F.col("date"), "date").alias("date"))
+    reviews = raw_reviews.select(
+        "id", F.col("date").alias("written"), parse_as(F.col("date"), "date").alias("date")
+    )
+    unread = F.count_if(F.col("written").isNotNull() & F.col("date").isNull())
 
     def step(df: DataFrame, table: str, reason: str, dropped: Column) -> DataFrame:
         return df.agg(
@@ -239,7 +243,9 @@ def dropped_rows(raw_listings: DataFrame, raw_calendar: DataFrame, raw_reviews:
             step(listings, "listings", "no price", F.count_if(F.col("price").isNull())),
             repeats(listings.where(F.col("price").isNotNull()), "listings"),
             step(nights, "calendar", "no date or state", F.count_if(gap)),
+            step(nights, "calendar", "unread date text", unread),
             step(reviews, "reviews", "no date", F.count_if(F.col("date").isNull())),
+            step(reviews, "reviews", "unread date text", unread),
             repeats(reviews.where(F.col("date").isNotNull()), "reviews"),
         ],
     )

@@ -11,7 +11,7 @@ from nightledger.functions.labels import (
     pricing_signal,
     pricing_signal_pct,
 )
-from nightledger.functions.numeric import half_up, ratio
+from nightledger.functions.numeric import half_even, ratio
 from nightledger.functions.parsing import amenity_count
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
 from nightledger.operators.scalars import with_values
@@ -38,12 +38,12 @@ def monthly_sums(cal: DataFrame) -> DataFrame:
 
 
 def occupancy(booked: Column, tracked: Column) -> Column:
-    return half_up(ratio(booked, tracked), 4).cast(RATE)
+    return half_even(ratio(booked, tracked), 4).cast(RATE)
 
 
 def per_night(revenue: Column, nights: Column) -> Column:
     """Money per night to the cent; 0 when there are no nights."""
-    return F.when(nights > 0, half_up(ratio(revenue, nights), 2)).otherwise(0.0).cast(CENTS)
+    return F.when(nights > 0, half_even(ratio(revenue, nights), 2)).otherwise(0.0).cast(CENTS)
 
 
 def listing_metrics(monthly: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def monthly_aggregate(monthly: DataFrame) -> DataFrame:
 
 def experience_years(host_since: Column, as_of: str) -> Column:
     days = F.datediff(F.lit(as_of).cast("date"), host_since)
-    return half_up(days / F.lit(365.25), 1)
+    return half_even(days / F.lit(365.25), 1)
 
 
 def market_values(listings: DataFrame, as_of: str) -> DataFrame:
@@ -150,7 +150,7 @@ def composite_score(scores: list[Column]) -> Column:
     for c in scores:
         total = total + F.coalesce(c, F.lit(0.0))
         known = known + F.when(c.isNull(), 0).otherwise(1)
-    return F.when(known > 0, half_up(total / known, 2)).cast("decimal(3,2)")
+    return F.when(known > 0, half_even(total / known, 2)).cast("decimal(3,2)")
 
 
 def listing_features(
@@ -201,9 +201,7 @@ def property_value(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     )
     return df.withColumns(
         {
-            "estimated_property_value": F.floor(value + F.lit(0.5).cast("decimal(2,1)")).cast(
-                "decimal(18,2)"
-            ),
+            "estimated_property_value": F.bround(value, 0).cast("decimal(18,2)"),
             "is_synthetic_valuation": F.lit(True),
         }
     )
@@ -213,8 +211,8 @@ def master_table(features: DataFrame, metrics: DataFrame) -> DataFrame:
     """Listings with their calendar metrics, ROI, pricing gap and signal."""
     df = features.join(metrics, "id", "left")
     value, revenue = F.col("estimated_property_value"), F.col("revenue_estimate")
-    gap = half_up(F.col("price") - F.col("adr"), 2).cast(CENTS)
-    roi = F.when(value > 0, half_up(ratio(revenue, value) * 100, 2)).cast(CENTS)
+    gap = half_even(F.col("price") - F.col("adr"), 2).cast(CENTS)
+    roi = F.when(value > 0, half_even(ratio(revenue, value) * 100, 2)).cast(CENTS)
     return (
         df.withColumn("estimated_annual_roi_pct", roi)
         .withColumn("pricing_gap", gap)

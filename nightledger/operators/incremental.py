@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators.ranking import first_per_key
+from nightledger.sources.tables import remove
 
 NIGHT = ["listing_id", "calendar_date"]
 
@@ -31,20 +33,22 @@ def combine_snapshots(snapshots: dict[str, DataFrame]) -> DataFrame:
 def upsert_nights(spark: SparkSession, path: str, arrivals: DataFrame) -> None:
     """Replace or add the arriving nights; only the months they touch are rewritten.
 
-    The months are written beside the table first and then swapped in, because a month
-    cannot be overwritten while it is being read.
+    The arrivals are evaluated once, written beside the table under a name of this run's own.
+    The new months are written there too and then swapped in, because a month cannot be
+    overwritten while it is being read.
     """
-    months = [r.year_month for r in arrivals.select("year_month").distinct().collect()]
-    if not months:
-        return
-    staged = f"{path}_staged"
-    if _exists(spark, path):
-        schema = arrivals.schema
-        old = spark.read.schema(schema).parquet(path).where(F.col("year_month").isin(months))
-        kept = old.join(arrivals.select(*NIGHT), NIGHT, "left_anti")
-        arrivals = kept.unionByName(arrivals.select(*old.columns))
-    _write_months(arrivals, staged)
-    _write_months(spark.read.schema(arrivals.schema).parquet(staged), path, "dynamic")
+    beside = f"{path}_arriving_{uuid.uuid4().hex}"
+    _write_months(arrivals, f"{beside}/nights")
+    new = spark.read.schema(arrivals.schema).parquet(f"{beside}/nights")
+    months = [r.year_month for r in new.select("year_month").distinct().collect()]
+    if months:
+        if _exists(spark, path):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("year_month").isin(months))
+            kept = old.join(new.select(*NIGHT), NIGHT, "left_anti")
+            _write_months(kept.unionByName(new.select(*old.columns)), f"{beside}/months")
+            new = spark.read.schema(new.schema).parquet(f"{beside}/months")
+        _write_months(new, path, "dynamic")
+    remove(spark, beside)
 
 
 def _write_months(df: DataFrame, path: str, mode: str = "static") -> None:

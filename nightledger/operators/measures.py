@@ -250,8 +250,19 @@ def _attach(result: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def superhost_share(star, by: list[str], where: Where) -> DataFrame:
-    """Superhost revenue over revenue, whatever superhost filter is set."""
-    kept = [p for p in _predicates(where, "DimHost") if "IsSuperhost" not in p]
+    """Superhost revenue over revenue, whatever superhost filter is set.
+
+    Only a predicate on the superhost flag alone can be ignored; one that also names other
+    columns of the dimension is refused, so that no other condition is lost with it.
+    """
+    kept = []
+    for predicate in _predicates(where, "DimHost"):
+        named = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"'[^']*'", "", predicate)))
+        named &= set(star["DimHost"].columns)
+        if named > {"IsSuperhost"}:
+            raise ValueError("give the superhost filter as a predicate of its own: " + predicate)
+        if named != {"IsSuperhost"}:
+            kept.append(predicate)
     where = {k: v for k, v in where.items() if k != "DimHost"} | ({"DimHost": kept} if kept else {})
     rows = context(star, CALENDAR, [*by, "DimHost.IsSuperhost"], where)
     keys = _names(by)

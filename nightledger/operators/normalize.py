@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightledger.functions.numeric import half_up
+from nightledger.functions.numeric import half_away, half_even
 from nightledger.operators.features import VALUE_MULTIPLIER
 from nightledger.operators.ranking import first_per_key, global_row_numbers
 from nightledger.schemas import TABLES
@@ -17,7 +17,7 @@ def _typed(df: DataFrame, table: str) -> DataFrame:
     def cast(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind.startswith("decimal") and dict(df.dtypes)[name] == "double":
-            c = half_up(c, int(kind.rstrip(")").split(",")[1]))
+            c = half_away(c, int(kind.rstrip(")").split(",")[1]))
         return c.try_cast(kind).alias(name)
 
     return df.select(*[cast(c, kind) for c, kind in TABLES[table].items() if c in df.columns])
@@ -33,9 +33,10 @@ def _flag(c: Column, default: bool = False) -> Column:
 
 
 def neighbourhoods(master: DataFrame) -> DataFrame:
-    """Distinct names in order with a dense key; a missing name comes last."""
+    """Distinct names in order with a dense key and the group of the first listing by id; a
+    missing name comes last (N01)."""
     group = "neighbourhood_group_cleansed"
-    chosen = F.min(group) if group in master.columns else F.first(F.lit(None).cast("string"))
+    chosen = F.min_by(group, "id") if group in master.columns else F.min(F.lit(None).cast("string"))
     names = master.groupBy(F.col("neighbourhood_cleansed").alias("neighbourhood_name")).agg(
         chosen.alias("neighbourhood_group")
     )
@@ -151,5 +152,5 @@ def review_scores(master: DataFrame, rating_scale: float = 20) -> DataFrame:
     }
     df = _project(master, names)
     if "rating" in df.columns:
-        df = df.withColumn("rating", F.col("rating") / F.lit(float(rating_scale)))
+        df = df.withColumn("rating", half_even(F.col("rating") / F.lit(float(rating_scale))))
     return _typed(df, "review_scores")

@@ -20,13 +20,13 @@ from nightledger.functions.labels import (
     risk_level,
     sort_position,
 )
-from nightledger.functions.numeric import avg_exact, half_up, ratio
+from nightledger.functions.numeric import avg_exact, half_away, ratio
 from nightledger.operators.ranking import global_row_numbers, ntile_of, top_per_group
 from nightledger.operators.scalars import with_values
 
 
 def pct1(c: Column) -> Column:
-    return half_up(c * 100, 1)
+    return half_away(c * 100, 1)
 
 
 def performing(w) -> DataFrame:
@@ -60,7 +60,7 @@ def q01_top_neighbourhoods(w, n: int = 15) -> DataFrame:
         .agg(
             F.sum("listings").alias("listing_count"),
             F.sum("revenue").alias("total_revenue"),
-            half_up(_combined("revpar")).alias("avg_revpar"),
+            half_away(_combined("revpar")).alias("avg_revpar"),
             pct1(_combined("occ")).alias("avg_occupancy_pct"),
         )
         .orderBy(F.desc("total_revenue"), "neighbourhood_name")
@@ -109,7 +109,7 @@ def q03_host_tiers(w) -> DataFrame:
         .select(
             "host_id",
             pct1(occ).alias("avg_occupancy_pct"),
-            half_up(score).alias("avg_review_score"),
+            half_away(score).alias("avg_review_score"),
             performance_tier(occ, score).alias("performance_tier"),
         )
         .orderBy(F.desc("avg_occupancy_pct"), "host_id")
@@ -125,7 +125,7 @@ def monthly_revenue(w) -> DataFrame:
 
 
 def _growth(now: Column, before: Column) -> Column:
-    return half_up(F.try_divide((now - before).cast("double") * 100, before.cast("double")))
+    return half_away(F.try_divide((now - before).cast("double") * 100, before.cast("double")))
 
 
 def q04_month_over_month(w) -> DataFrame:
@@ -203,8 +203,8 @@ def q08_superhost_comparison(w) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("num_hosts"),
             pct1(_combined("occ")).alias("avg_occupancy_pct"),
-            half_up(_combined("revpar")).alias("avg_revpar"),
-            half_up(_combined("score")).alias("avg_review_score"),
+            half_away(_combined("revpar")).alias("avg_revpar"),
+            half_away(_combined("score")).alias("avg_review_score"),
         )
     )
 
@@ -256,8 +256,8 @@ def q11_experience_tiers(w) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("num_hosts"),
             pct1(_combined("occ")).alias("avg_occupancy_pct"),
-            half_up(_combined("score")).alias("avg_review_score"),
-            half_up(_combined("revenue")).alias("avg_revenue_per_listing"),
+            half_away(_combined("score")).alias("avg_review_score"),
+            half_away(_combined("revenue")).alias("avg_revenue_per_listing"),
         )
         .orderBy(F.desc("avg_revenue_per_listing"), "experience_tier")
     )
@@ -293,7 +293,7 @@ def q13_score_buckets(w) -> DataFrame:
         .groupBy(review_score_bucket(F.col("composite_score")).alias("review_score_bucket"))
         .agg(
             F.count(F.lit(1)).alias("num_listings"),
-            half_up(avg_exact(F.col("revenue_estimate"))).alias("avg_revenue"),
+            half_away(avg_exact(F.col("revenue_estimate"))).alias("avg_revenue"),
             pct1(avg_exact(F.col("occupancy_rate"))).alias("avg_occupancy_pct"),
         )
         .orderBy(F.desc("avg_revenue"), "review_score_bucket")
@@ -329,9 +329,9 @@ def q15_investment_ranking(w) -> DataFrame:
         .groupBy("neighbourhood_name")
         .agg(
             F.sum("listings").alias("listing_count"),
-            half_up(_combined("value"), 0).alias("avg_estimated_property_value"),
-            half_up(_combined("revenue")).alias("avg_annual_revenue"),
-            half_up(_combined("roi")).alias("avg_estimated_roi_pct"),
+            half_away(_combined("value"), 0).alias("avg_estimated_property_value"),
+            half_away(_combined("revenue")).alias("avg_annual_revenue"),
+            half_away(_combined("roi")).alias("avg_estimated_roi_pct"),
         )
         .orderBy(F.desc("avg_estimated_roi_pct"), "neighbourhood_name")
     )
@@ -364,9 +364,9 @@ def q17_price_categories(w) -> DataFrame:
         .groupBy("price_category")
         .agg(
             F.count(F.lit(1)).alias("num_listings"),
-            half_up(avg_exact(F.col("base_price"))).alias("avg_price"),
+            half_away(avg_exact(F.col("base_price"))).alias("avg_price"),
             pct1(avg_exact(F.col("occupancy_rate"))).alias("avg_occupancy_pct"),
-            half_up(avg_exact(F.col("revpar"))).alias("avg_revpar"),
+            half_away(avg_exact(F.col("revpar"))).alias("avg_revpar"),
         )
         .orderBy(sort_position(F.col("price_category"), PRICE_CATEGORIES))
     )
@@ -378,8 +378,8 @@ def q18_amenity_tiers(w) -> DataFrame:
         .groupBy(amenity_tier(F.col("amenity_count")).alias("amenity_tier"))
         .agg(
             F.count(F.lit(1)).alias("num_listings"),
-            half_up(avg_exact(F.col("base_price"))).alias("avg_price"),
-            half_up(avg_exact(F.col("revenue_estimate"))).alias("avg_revenue"),
+            half_away(avg_exact(F.col("base_price"))).alias("avg_price"),
+            half_away(avg_exact(F.col("revenue_estimate"))).alias("avg_revenue"),
         )
         .orderBy(F.desc("avg_price"), "amenity_tier")
     )
@@ -401,9 +401,9 @@ def q19_tier_benchmark(w) -> DataFrame:
         .withColumn("market", market_avg)
         .select(
             "experience_tier",
-            half_up(F.col("tier")).alias("tier_avg_revpar"),
-            half_up(F.col("market")).alias("market_avg_revpar"),
-            half_up(F.col("tier") - F.col("market")).alias("gap_vs_market"),
+            half_away(F.col("tier")).alias("tier_avg_revpar"),
+            half_away(F.col("market")).alias("market_avg_revpar"),
+            half_away(F.col("tier") - F.col("market")).alias("gap_vs_market"),
         )
         .orderBy(F.desc("tier_avg_revpar"), "experience_tier")
     )
@@ -411,9 +411,9 @@ def q19_tier_benchmark(w) -> DataFrame:
 
 def q20_executive_summary(w) -> DataFrame:
     perf = w["listing_performance"].agg(
-        half_up(F.sum("revenue_estimate"), 0).alias("total_estimated_revenue"),
+        half_away(F.sum("revenue_estimate"), 0).alias("total_estimated_revenue"),
         pct1(avg_exact(F.col("occupancy_rate"))).alias("avg_occupancy_pct"),
-        half_up(avg_exact(F.col("revpar"))).alias("avg_revpar"),
+        half_away(avg_exact(F.col("revpar"))).alias("avg_revpar"),
     )
     best = (
         performing(w)

@@ -24,6 +24,10 @@ def m10_neighbourhood_rank(w) -> DataFrame:
 
 
 def m11_top_ten_listings(w) -> DataFrame:
+    return m.top_ten_flag(m.listing_revenue_rank(w.star()))
+
+
+def m11_top_ten_private_rooms(w) -> DataFrame:
     ranked = m.listing_revenue_rank(w.star(), {"DimListing": "RoomType = 'Private room'"})
     return m.top_ten_flag(ranked)
 
@@ -48,7 +52,9 @@ QUERIES = {
     "m09_listing_revenue_rank": m09_listing_revenue_rank,
     "m10_neighbourhood_rank": m10_neighbourhood_rank,
     "m11_top_ten_listings": m11_top_ten_listings,
-    "m12_cumulative_revenue": _evaluate(
+    "m11_top_ten_private_rooms": m11_top_ten_private_rooms,
+    "m12_cumulative_revenue": _evaluate(["cumulative_revenue"], MONTH),
+    "m12_cumulative_revenue_since_1996": _evaluate(
         ["cumulative_revenue"], MONTH, {"DimDate": "Year >= 1996"}
     ),
     "m13_pricing_opportunities": _evaluate(["pricing_opportunities"], AREA),

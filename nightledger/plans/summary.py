@@ -206,6 +206,10 @@ def w07_top_markets(w):
 
 
 def w07_market_table(w):
+    return market_table(w["master"])
+
+
+def w07_market_table_entire_homes(w):
     return market_table(filter_rows(w["master"], room="Entire home/apt"))
 
 

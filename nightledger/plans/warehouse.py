@@ -18,7 +18,7 @@ from nightledger.schemas import LISTING_COLUMNS, TABLES, with_provenance
 from nightledger.session import shared_dir
 from nightledger.sources import binding
 from nightledger.sources.files import read_raw_csv
-from nightledger.sources.tables import read_stage, write_stage
+from nightledger.sources.tables import read_stage, remove, write_stage
 
 STAR = {
     "DimDate": "dim_date",
@@ -52,9 +52,8 @@ class Warehouse:
 
     # Stages that are written, and the column a stage is partitioned by.
     PARTITIONED = {"calendar_clean": "year_month", "fact_calendar": "YearMonth"}
-    # Plain projections of a written stage, or inputs read once.
+    # Plain projections of a written stage.
     UNWRITTEN = {
-        "raw_reviews",
         "calendar_daily",
         "monthly_agg",
         "reviews",
@@ -80,6 +79,14 @@ class Warehouse:
     def star(self) -> "Star":
         return Star(self)
 
+    def close(self) -> None:
+        """Remove everything that was written under this warehouse's own folder."""
+        remove(self.spark, self.root)
+        self._stages.clear()
+        self.models.clear()
+        for key in [k for k, w in _open.items() if w is self]:
+            del _open[key]
+
     @classmethod
     def of_tables(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
         """Over the given star-schema tables, shaped into raw files first."""

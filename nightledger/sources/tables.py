@@ -56,3 +56,9 @@ def read_database(
                 partitionColumn=split_on, lowerBound=lo, upperBound=hi, numPartitions=splits
             )
     return reader.load()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,9 +8,15 @@ AS_OF = "DATE '2002-01-01'"
 
 
 def r(expr: str, digits: int = 2) -> str:
-    """Half-up rounding in the same floating-point steps as the Spark side."""
-    scale = f"{10 ** digits}.0"
-    return f"(floor(CAST({expr} AS DOUBLE) * CAST({scale} AS DOUBLE) + 0.5) / CAST({scale} AS DOUBLE))"
+    """SQL's ROUND: halves away from zero."""
+    scale, x = f"CAST({10 ** digits}.0 AS DOUBLE)", f"CAST({expr} AS DOUBLE)"
+    size = f"floor(abs({x}) * {scale} + 0.5) / {scale}"
+    return f"(CASE WHEN {x} < 0 THEN -({size}) ELSE {size} END + CAST(0 AS DOUBLE))"
+
+
+def even(expr: str, digits: int = 2) -> str:
+    """Rounding of data frames: halves to the even neighbour."""
+    return f"round_even(CAST({expr} AS DOUBLE), {digits})"
 
 
 def div(a: str, b: str) -> str:
@@ -90,7 +96,6 @@ SELECT l_partkey AS listing_id, CAST(l_shipdate AS DATE) AS date,
             ELSE '$' || CAST(max(CAST(floor(CAST(bp AS DOUBLE) * (1 + 4 * (l_tax - l_discount))
                  * 100 + 0.5) / 100 AS DECIMAL(10,2))) AS VARCHAR) END AS price
 FROM lineitem JOIN priced_part ON p_partkey = l_partkey
-WHERE date_trunc('month', l_shipdate) <> DATE '1998-02-01'
 GROUP BY l_partkey, CAST(l_shipdate AS DATE)
 """
 BLOCKS["raw_listings"] = f"""
@@ -215,23 +220,23 @@ FROM calendar_clean GROUP BY 1
 """
 BLOCKS["kpis"] = f"""
 SELECT *,
-  CAST({r(div("booked_nights", "total_nights_tracked"), 4)} AS DECIMAL(5,4)) AS occupancy_rate,
-  CAST(CASE WHEN booked_nights > 0 THEN {r(div("revenue_estimate", "booked_nights"))} ELSE 0 END
+  CAST({even(div("booked_nights", "total_nights_tracked"), 4)} AS DECIMAL(5,4)) AS occupancy_rate,
+  CAST(CASE WHEN booked_nights > 0 THEN {even(div("revenue_estimate", "booked_nights"))} ELSE 0 END
        AS DECIMAL(12,2)) AS adr,
   CAST(CASE WHEN total_nights_tracked > 0
-       THEN {r(div("revenue_estimate", "total_nights_tracked"))} ELSE 0 END
+       THEN {even(div("revenue_estimate", "total_nights_tracked"))} ELSE 0 END
        AS DECIMAL(12,2)) AS revpar
 FROM metrics
 """
 BLOCKS["monthly_agg"] = f"""
 SELECT id, year_month, nights_tracked, nights_booked, revenue,
-  CAST({r(div("nights_booked", "nights_tracked"), 4)} AS DECIMAL(5,4)) AS occupancy_rate
+  CAST({even(div("nights_booked", "nights_tracked"), 4)} AS DECIMAL(5,4)) AS occupancy_rate
 FROM (SELECT listing_id AS id, strftime(date, '%Y-%m') AS year_month,
         count(date) AS nights_tracked, count(*) FILTER (WHERE NOT available) AS nights_booked,
         CAST(coalesce(sum(price) FILTER (WHERE NOT available), 0) AS DECIMAL(18,6)) AS revenue
       FROM calendar_clean GROUP BY 1, 2)
 """
-YEARS = r(f"date_diff('day', host_since, {AS_OF}) / CAST(365.25 AS DOUBLE)", 1)
+YEARS = even(f"date_diff('day', host_since, {AS_OF}) / CAST(365.25 AS DOUBLE)", 1)
 BLOCKS["experience"] = f"""
 SELECT id, coalesce({YEARS}, (SELECT quantile_cont({YEARS}, 0.5) FROM listings_clean), 0)
   AS host_experience_years FROM listings_clean
@@ -260,7 +265,7 @@ SUB = [
 ]
 COMPOSITE = (
     "CAST("
-    + r(
+    + even(
         "(0 + "
         + " + ".join(f"coalesce({c}, 0)" for c in SUB)
         + ") / nullif("
@@ -281,8 +286,8 @@ SELECT l.*, host_experience_years, {TIER} AS host_experience_tier,
        ELSE len(string_split(trim(amenities, '[]'), ',')) END AS amenity_count,
   {ROOMS} AS bedrooms_for_valuation,
   per_room AS neighbourhood_median_price_per_bedroom,
-  CAST(floor(per_room * CAST({ROOMS} AS DECIMAL(6,1)) * 250 + CAST(0.5 AS DECIMAL(2,1)))
-       AS DECIMAL(18,2)) AS estimated_property_value,
+  CAST({even("per_room * CAST(" + ROOMS + " AS DECIMAL(6,1)) * 250", 0)} AS DECIMAL(18,2))
+    AS estimated_property_value,
   true AS is_synthetic_valuation
 FROM listings_clean l JOIN experience USING (id) CROSS JOIN price_edges
 LEFT JOIN room_prices ON name = neighbourhood_cleansed
@@ -293,15 +298,15 @@ SELECT *, CASE WHEN pricing_gap > 20 THEN 'Possibly Overpriced'
                ELSE 'Well-Priced' END AS pricing_signal
 FROM (SELECT f.*, k.* EXCLUDE (id),
         CAST(CASE WHEN estimated_property_value > 0
-             THEN {r(div("revenue_estimate", "estimated_property_value") + " * 100")} END
+             THEN {even(div("revenue_estimate", "estimated_property_value") + " * 100")} END
              AS DECIMAL(12,2)) AS estimated_annual_roi_pct,
-        CAST({r("price - adr")} AS DECIMAL(12,2)) AS pricing_gap
+        CAST({even("price - adr")} AS DECIMAL(12,2)) AS pricing_gap
       FROM features f LEFT JOIN kpis k ON k.id = f.id)
 """
 BLOCKS["neighbourhoods"] = """
 SELECT row_number() OVER (ORDER BY name NULLS LAST) AS neighbourhood_id,
   name AS neighbourhood_name, grp AS neighbourhood_group
-FROM (SELECT neighbourhood_cleansed AS name, min(neighbourhood_group_cleansed) AS grp
+FROM (SELECT neighbourhood_cleansed AS name, arg_min(neighbourhood_group_cleansed, id) AS grp
       FROM master GROUP BY 1)
 """
 BLOCKS["hosts"] = """
@@ -348,7 +353,7 @@ FROM reviews_clean
 """
 _score = lambda c: f"CAST({r(c)} AS DECIMAL(3,2))"
 BLOCKS["review_scores"] = f"""
-SELECT id AS listing_id, {_score("review_scores_rating / CAST(20 AS DOUBLE)")} AS rating,
+SELECT id AS listing_id, {_score(even("review_scores_rating / CAST(20 AS DOUBLE)"))} AS rating,
   {_score("review_scores_cleanliness")} AS cleanliness, {_score("review_scores_checkin")} AS checkin,
   {_score("review_scores_communication")} AS communication,
   {_score("review_scores_location")} AS location_score,
@@ -356,6 +361,16 @@ SELECT id AS listing_id, {_score("review_scores_rating / CAST(20 AS DOUBLE)")} A
   review_score_composite AS composite_score
 FROM master
 """
+BLOCKS["listing_rows"] = """
+SELECT * FROM listings JOIN listing_performance USING (listing_id)
+LEFT JOIN review_scores USING (listing_id)
+"""
+BLOCKS["placed_listings"] = """
+SELECT * FROM listing_rows JOIN neighbourhoods USING (neighbourhood_id)
+"""
+BLOCKS["hosted_listings"] = """
+SELECT * FROM listing_rows JOIN hosts USING (host_id)
+"""
 BLOCKS["dim_date"] = """
 SELECT strftime(d, '%Y%m%d') AS DateKey, d AS Date, CAST(year(d) AS BIGINT) AS Year,
   CAST(quarter(d) AS BIGINT) AS Quarter, CAST(month(d) AS BIGINT) AS MonthNum,

@@ -52,6 +52,19 @@ FROM nights GROUP BY 1, 2
 """
 
 
+def top_ten(where: str) -> str:
+    return f"""SELECT *, CAST(revenue_rank <= 10 AS BIGINT) AS is_top_10
+      FROM (SELECT ListingKey, total_revenue,
+        {n("dense_rank() OVER (ORDER BY total_revenue DESC)", "revenue_rank")}
+        FROM ({RANKED.format(where=where)}))"""
+
+
+def running(where: str) -> str:
+    return f"""SELECT yr_month AS YearMonth,
+      {d("sum(total_revenue) OVER (ORDER BY m)", "cumulative_revenue")}
+      FROM month_revenue WHERE {where}"""
+
+
 def by_area(expr: str, name: str, source: str = "nights") -> str:
     return f"SELECT NeighbourhoodName, {expr} AS {name} FROM {source} GROUP BY 1"
 
@@ -79,13 +92,10 @@ SQL = {
       {n("dense_rank() OVER (ORDER BY total_revenue DESC)", "revenue_rank")}
       FROM ({RANKED.format(where="")})""",
     "m10_neighbourhood_rank": AREA_RANK,
-    "m11_top_ten_listings": f"""SELECT *, CAST(revenue_rank <= 10 AS BIGINT) AS is_top_10
-      FROM (SELECT ListingKey, total_revenue,
-        {n("dense_rank() OVER (ORDER BY total_revenue DESC)", "revenue_rank")}
-        FROM ({RANKED.format(where="WHERE RoomType = 'Private room'")}))""",
-    "m12_cumulative_revenue": f"""SELECT yr_month AS YearMonth,
-      {d("sum(total_revenue) OVER (ORDER BY m)", "cumulative_revenue")}
-      FROM month_revenue WHERE yr_month >= '1996-01'""",
+    "m11_top_ten_listings": top_ten(""),
+    "m11_top_ten_private_rooms": top_ten("WHERE RoomType = 'Private room'"),
+    "m12_cumulative_revenue": running("true"),
+    "m12_cumulative_revenue_since_1996": running("yr_month >= '1996-01'"),
     "m13_pricing_opportunities": by_area(FLAGGED, "pricing_opportunities", PERF),
     "m14_superhost_share": by_area(
         div("sum(BookedRevenue) FILTER (WHERE IsSuperhost = 1)", REV), "superhost_revenue_share"

@@ -214,8 +214,10 @@ UNION ALL SELECT 'listings', 'duplicate id', count(*), count(*) - count(DISTINCT
   FROM typed_listings WHERE price IS NOT NULL
 UNION ALL SELECT 'calendar', 'no date or state', count(*),
   count(*) FILTER (WHERE date IS NULL OR available IS NULL) FROM typed_calendar
+UNION ALL SELECT 'calendar', 'unread date text', count(*), 0 FROM typed_calendar
 UNION ALL SELECT 'reviews', 'no date', count(*), count(*) FILTER (WHERE date IS NULL)
   FROM raw_reviews
+UNION ALL SELECT 'reviews', 'unread date text', count(*), 0 FROM raw_reviews
 UNION ALL SELECT 'reviews', 'duplicate id', count(*), count(*) - count(DISTINCT id)
   FROM raw_reviews WHERE date IS NOT NULL
 """

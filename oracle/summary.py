@@ -97,7 +97,8 @@ SELECT id, host_id, property_type FROM master WHERE contains({TEXT}, 'nation_1')
     f"{div('count(*)', '(SELECT count(*) FROM master)')} AS share FROM master GROUP BY 1",
     "w06_market_groups": groups(),
     "w07_top_markets": f"SELECT * FROM ({groups()}) ORDER BY revenue DESC, name LIMIT 6",
-    "w07_market_table": groups("room_type = 'Entire home/apt'"),
+    "w07_market_table": groups(),
+    "w07_market_table_entire_homes": groups("room_type = 'Entire home/apt'"),
     "w08_host_comparison": host_group("Superhost", "coalesce(host_is_superhost, false)")
     + " UNION ALL "
     + host_group("Non-superhost", "NOT coalesce(host_is_superhost, false)"),

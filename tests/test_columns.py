@@ -29,6 +29,9 @@ def test_percent_text(frame):
 def test_dates(frame):
     texts = ["2020-02-29", "2020-13-01", None]
     assert values(frame, texts, "string", parsing.parse_date) == [dt.date(2020, 2, 29), None, None]
+    texts = ["01/02/2025", "Jan 2, 2025", "January 2, 2025", "2025/01/02", "20250102", " 1-2-2025 "]
+    assert values(frame, texts, "string", parsing.parse_date) == [dt.date(2025, 1, 2)] * len(texts)
+    assert values(frame, ["13/13/2025", "soon", ""], "string", parsing.parse_date) == [None] * 3
 
 
 def test_flags(frame):
@@ -96,9 +99,31 @@ def test_percentage_signal(frame):
     assert out == [labels.OVERPRICED, labels.WELL_PRICED, labels.UNDERPRICED, labels.WELL_PRICED]
 
 
-def test_half_up(frame):
-    build = lambda c: numeric.half_up(c, 2)
-    assert values(frame, [0.125, 2.5, -0.125, None], "double", build) == [0.13, 2.5, -0.12, None]
+def test_half_even(frame):
+    build = lambda c: numeric.half_even(c, 2)
+    given = [0.125, 0.375, 2.5, -0.125, -0.375, 1 / 32, None]
+    assert values(frame, given, "double", build) == [0.12, 0.38, 2.5, -0.12, -0.38, 0.03, None]
+    whole = lambda c: numeric.half_even(c, 0)
+    assert values(frame, [0.5, 1.5, 2.5, -0.5, -1.5], "double", whole) == [0.0, 2.0, 2.0, 0.0, -2.0]
+
+
+def test_half_away(frame):
+    build = lambda c: numeric.half_away(c, 2)
+    given = [0.125, 2.5, -0.125, -0.375, -0.001, None]
+    out = values(frame, given, "double", build)
+    assert out == [0.13, 2.5, -0.13, -0.38, 0.0, None]
+    assert str(out[4]) == "0.0"
+
+
+def test_ties_of_the_key_figures(frame):
+    df = frame([(1, 32, 0.04), (5, 32, 0.2)], "booked int, tracked int, rev double")
+    booked, tracked, rev = F.col("booked"), F.col("tracked"), F.col("rev")
+    out = df.select(
+        features.occupancy(booked, tracked).cast("double"),
+        features.per_night(rev * 3.125, booked).cast("double"),
+    ).collect()
+    # 0.03125 and 0.15625 to four places; 0.125 and 0.125 to the cent
+    assert [tuple(r) for r in out] == [(0.0312, 0.12), (0.1562, 0.12)]
 
 
 def test_per_night(frame):

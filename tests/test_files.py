@@ -35,6 +35,30 @@ def test_files_give_the_same_tables(spark, w, raw_files, tmp_path):
     assert pack.count() == 7
 
 
+def test_a_broken_rule_stops_the_load(spark, raw_files, tmp_path):
+    out = tmp_path / "gated"
+    with pytest.raises(ValueError, match="quality gate failed: calendar_daily: listing_id in listings"):
+        run(spark, raw_files, str(out), AS_OF, allowed=set())
+    assert not (out / "load").exists() and not (out / "report").exists()
+
+
+def test_closing_removes_what_was_written(spark, tmp_path):
+    from nightledger.plans import stages
+    from nightledger.plans.warehouse import Warehouse
+    from nightledger.sources import binding
+    from tests.conftest import SF_DIR
+
+    root = tmp_path / "own"
+    order = {"listings": ["copy"], "reviews": ["date"]}
+    raw = lambda name: binding.RAW[name](spark, SF_DIR)
+    own = Warehouse(spark, raw, AS_OF, order, root=str(root))
+    assert stages.s01_read_csv(own).count() > 0 and stages.x01_incremental_load(own).count() > 0
+    assert not [p for p in root.iterdir() if "arriving" in p.name]
+    assert len(list(root.iterdir())) >= 4
+    own.close()
+    assert not root.exists()
+
+
 def test_calendar_without_prices_uses_the_listing(spark, raw_files, tmp_path):
     bare = str(tmp_path / "bare")
     cal = files.read_raw_csv(spark, raw_files["calendar"], multiline=False)
