@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -86,6 +87,7 @@ def main(sf_dir: str, *wanted: str) -> None:
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "10g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
             **extra,
         },
     )
