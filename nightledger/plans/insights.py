@@ -180,18 +180,54 @@ ADVICE = {
 }
 
 
+def market_facts(master: DataFrame, top: int = 3) -> DataFrame:
+    """One row with what I01, I03 and I05-I08 find, from one pass over the listings.
+
+    Listings are summed by neighbourhood; all else is taken from that small frame.
+    """
+    is_super, revenue = F.col("host_is_superhost"), F.coalesce("revenue", F.lit(0))
+    areas = master.groupBy(AREA).agg(
+        F.count(F.lit(1)).alias("listings"),
+        F.sum("revenue_estimate").alias("revenue"),
+        F.sum("booked_nights").alias("booked"),
+        F.sum("total_nights_tracked").alias("tracked"),
+        avg_exact(F.col("estimated_annual_roi_pct")).alias("avg_roi"),
+        *[
+            F.sum(F.when(test, F.col(c))).alias(f"{prefix}_{name}")
+            for prefix, test in (("s", is_super), ("n", ~is_super))
+            for c, name in (("revenue_estimate", "rev"), ("total_nights_tracked", "tracked"))
+        ],
+        F.count_if(F.coalesce("is_stale_listing", F.lit(True))).alias("stale_listings"),
+        F.count_if(F.col("pricing_signal") != WELL_PRICED).alias("pricing_flags"),
+    )
+    by_revenue = Window.orderBy(F.desc(revenue), F.asc_nulls_last(AREA))  # one row per area
+    named = F.struct((-F.col("avg_roi")).alias("r"), F.col(AREA).isNull(), F.col(AREA).alias("name"))
+    added = ["listings", "revenue", "booked", "tracked", "s_rev", "s_tracked", "n_rev", "n_tracked"]
+    sums = areas.withColumn("place", F.row_number().over(by_revenue)).agg(
+        *[F.sum(c).alias(c) for c in added],
+        F.sum(F.when(F.col("place") <= top, revenue)).alias("top_revenue"),
+        F.max(F.when(F.col("place") == 1, F.col(AREA))).alias("leader"),
+        F.min(F.when(F.col("avg_roi").isNotNull(), named)).alias("best"),
+        F.coalesce(F.sum("stale_listings"), F.lit(0)).alias("stale_listings"),
+        F.coalesce(F.sum("pricing_flags"), F.lit(0)).alias("pricing_flags"),
+    )
+    revpar = {p: ratio(F.col(f"{p}_rev"), F.col(f"{p}_tracked")) for p in "sn"}
+    return sums.select(
+        F.coalesce("listings", F.lit(0)).alias("listings"),
+        "revenue",
+        ratio(F.col("booked"), F.col("tracked")).alias("occupancy"),
+        ratio(F.col("top_revenue"), F.col("revenue")).alias("top_share"),
+        "leader",
+        (ratio(revpar["s"], revpar["n"]) - 1).alias("revpar_gap"),
+        "stale_listings",
+        "pricing_flags",
+        F.col("best.name").alias("best_roi_area"),
+    )
+
+
 def build(master: DataFrame, monthly: DataFrame) -> DataFrame:
     """The seven insights with their texts, in order of ``position``."""
-    facts = market_totals(master)
-    for part in (
-        revenue_concentration(master),
-        peak_and_low_month(monthly),
-        superhost_gaps(master).select("revpar_gap"),
-        stale_count(master),
-        pricing_flags(master),
-        best_roi_area(master).select("best_roi_area"),
-    ):
-        facts = with_values(facts, part)
+    facts = with_values(market_facts(master), peak_and_low_month(monthly))
 
     def number(c: str) -> Column:
         return F.format_number(F.col(c), 0)
