@@ -8,9 +8,10 @@ weighted Jaccard similarity. Bands of coordinates become join keys.
 
 Pairs aren't listed within a bucket. Equal texts are one text from the start. Every text is
 first compared with the most connected text it shares a bucket with; then, round by round,
-each bucket that still holds more than one component compares its members with a doubling
+each bucket that still holds more than one component compares its members with a growing
 number of its most connected texts, until all pairs of different components that share a
-bucket have been decided. Each comparison is the exact weighted Jaccard similarity of both
+bucket have been decided; pairs whose signatures, sizes or distances to a common text exclude
+a link need no comparison. Each comparison is the exact weighted Jaccard similarity of both
 whole texts, and links of at least ``SIMILAR`` make classes by connected components. The
 chance that two texts of similarity 0.8 share no band is (1 - 0.8**5)**24 = 7e-5.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .storage import cut, stage
+from .storage import cut, parts_of, stage
 from .text import ODD, SIMILAR, Words, blocks, counted, mix, shingles, words
 
 BANDS = 24
@@ -36,6 +37,13 @@ ROWS = 5
 SEED = 20
 #: Texts compared with one pivot in one run, and rows up to which a key list is broadcast.
 RUN = 256
+#: Texts of an open bucket that the others are compared with, in the first round; each round
+#: takes so many times more.
+PIVOTS = 8
+#: Coordinates of a second signature, of the texts in shared buckets only, and how many must be
+#: equal for two texts to be compared: at a similarity of 0.8, fewer are with a chance of 3e-5.
+LOOK = 360
+AGREEING = 258
 BROADCAST_ROWS = 500_000
 
 
@@ -112,10 +120,26 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h long, total long, bands array<long>")
 
 
+def looks(texts: DataFrame) -> DataFrame:
+    """(h, darts): a byte for each coordinate of a second signature."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, texts in blocks(batch, "text"):
+                kept, _ = signatures(words(texts), LOOK, SEED + 1)
+                byte = (mix(kept.view(np.uint64)) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+                ends = np.arange(0, byte.size + 1, LOOK, dtype=np.int32)
+                darts = pa.ListArray.from_arrays(ends, byte.ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), darts], ["h", "darts"])
+
+    return texts.mapInArrow(run, "h long, darts array<tinyint>")
+
+
 def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, p) with texts (h, text) to (a, p, similarity); many texts with one p are spread over runs."""
     many = pairs.groupBy("p").agg(F.count("*").alias("n"))
-    pairs = pairs.join(many, "p").select("a", "p", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / RUN)).alias("run"))
+    run = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / RUN)).alias("run")
+    pairs = cut(pairs.join(many, "p").select("a", "p", run))  # read twice below
     members = pairs.join(texts, F.col("a") == F.col("h")).select("p", "run", "a", "text")
     pivots = pairs.select("p", "run").distinct().join(texts, F.col("p") == F.col("h"))
     rows = pivots.select("p", "run", F.lit(None).cast("long").alias("a"), "text").union(members)
@@ -154,54 +178,86 @@ def jaccard(e: np.ndarray, n: np.ndarray, f: np.ndarray, m: np.ndarray) -> float
 def roots(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """(h, root) of the texts that a link of at least SIMILAR binds to a different text."""
     reps = sketched.where("total > 0").groupBy("h").agg(
-        F.first("bands").alias("bands"), F.first("total").alias("total"), F.min("doc_id").alias("carrier")
+        F.first("bands").alias("bands"),
+        F.first("total").alias("total"),
+        F.min("doc_id").alias("carrier"),
     )
-    rows = reps.select(F.explode("bands").alias("key"), "h", "total", "carrier")
+    rows = reps.select(F.explode("bands").alias("key"), "h")
     crowd = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(rows.join(crowd, "key"))
-    known = shared.groupBy("h").agg(
-        F.sum("n").alias("ties"), F.first("carrier").alias("carrier"), F.first("total").alias("total")
-    )
-    known = cut(known)
-    shared = cut(shared.join(known.select("h", "ties"), "h").select("key", "h", "total", "ties"))
+    ties = shared.groupBy("h").agg(F.sum("n").alias("ties"))
+    known = cut(reps.join(ties, "h"))
+    parts = parts_of(shared)
+    shared = cut(shared.join(ties, "h").select("key", "h", "ties"), parts)
     wanted = known.select(F.col("h").alias("k"), "carrier")
     if known.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("h"), "text")
-    texts = stage(texts.join(wanted, (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("carrier"))).select("h", "text"))
+    own = (F.col("h") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("carrier"))
+    texts = stage(texts.join(wanted, own).select("h", "text"))
     strength = F.struct("ties", "h")
     # round 0: each text and the most connected one that it shares a bucket with
     best = shared.groupBy("key").agg(F.max(strength).alias("best"))
     first = shared.join(best, "key").groupBy("h").agg(F.max("best").alias("best"))
     pairs = first.select(F.col("h").alias("a"), F.col("best.h").alias("p")).where("a <> p")
-    decided = cut(similarities(pairs.distinct(), texts))
+    decided = cut(similarities(pairs, texts))
+    hubs = decided.groupBy(F.col("a").alias("h")).agg(F.first("p").alias("hub"), (1 - F.first("similarity")).alias("far"))
+    known = known.join(hubs, "h", "left").join(looks(texts).dropDuplicates(["h"]), "h").select(
+        "h",
+        "total",
+        "bands",
+        "darts",
+        F.coalesce("hub", "h").alias("hub"),
+        F.coalesce("far", F.lit(0.0)).alias("far"),
+    )
+    known = cut(known, parts)
     done = None
-    pivots = 1
+    pivots = PIVOTS
     while True:
         comp = components(decided.where(F.col("similarity") >= SIMILAR).select("a", F.col("p").alias("b")))
         comp = comp.select(F.col("node").alias("h"), "root")
         open_ = shared.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
         if done is not None:
             open_ = open_.join(done, ["key", "h"], "left_anti")
-        mixed = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = cut(open_.join(mixed, "key"))
+        strongest = F.max(F.struct("ties", "h", "root")).alias("s")
+        mixed = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), strongest)
+        mixed = mixed.where("lo < hi").select("key", F.col("s.root").alias("main"))
+        open_ = cut(open_.join(mixed, "key"), parts)
         if open_.isEmpty():
             return comp
-        # tasks keep their strongest texts of a bucket before the shuffle
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ties"), "h"))
-        top = open_.withColumn("place", place).where(F.col("place") <= pivots)
-        top = cut(top.select("key", F.col("h").alias("p"), F.col("root").alias("q"), F.col("total").alias("size")))
-        pairs = open_.join(top, "key").where("root <> q")
-        pairs = pairs.where(F.least("total", "size") >= SIMILAR * F.greatest("total", "size"))
-        pairs = pairs.select(F.col("h").alias("a"), "p").where("a <> p")
-        pairs = pairs.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p")).distinct()
+        open_ = open_.join(known, "h")
+        # those outside the bucket's main component come first: when they have been compared,
+        # the bucket is closed; tasks keep the first of a bucket before the shuffle
+        order = Window.partitionBy("key").orderBy(F.col("root") == F.col("main"), F.desc("ties"), "h")
+        top = open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots)
+        own = ("h", "root", "total", "bands", "darts", "hub", "far")
+        top = cut(top.select("key", *[F.col(c).alias(f"p_{c}") for c in own]), parts)
+        pairs = open_.join(top, "key").where(_may_link())
+        pairs = pairs.select(F.least("h", "p_h").alias("a"), F.greatest("h", "p_h").alias("p")).distinct()
         old = decided.select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("p"))
-        pairs = cut(pairs.join(old, ["a", "p"], "left_anti"))
+        pairs = cut(pairs.join(old, ["a", "p"], "left_anti"), parts)
         if not pairs.isEmpty():
             decided = cut(decided.union(similarities(pairs, texts)))
-        finished = top.select("key", F.col("p").alias("h"))
-        done = cut(finished if done is None else done.union(finished))
-        pivots = min(2 * pivots, 1024)
+        finished = top.select("key", F.col("p_h").alias("h"))
+        done = cut(finished if done is None else done.union(finished), parts)
+        pivots *= PIVOTS
+
+
+def _may_link() -> Column:
+    """What a pair of a bucket must fulfil to be compared; each is needed for a link.
+
+    Its components differ; the smaller total is SIMILAR of the larger at least; if both were
+    compared with the same hub, their distances to it differ by at most 1 - SIMILAR (the
+    weighted Jaccard distance obeys the triangle inequality); AGREEING coordinates are equal.
+    A pair is taken in the first bucket that it shares.
+    """
+    apart = F.abs(F.col("far") - F.col("p_far")) > 1 - SIMILAR + 1e-9
+    size = F.least("total", "p_total") >= SIMILAR * F.greatest("total", "p_total")
+    here = F.get(F.array_intersect("bands", "p_bands"), F.lit(0)) == F.col("key")
+    equal = F.zip_with("darts", "p_darts", lambda a, b: (a == b).cast("int"))
+    agree = F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= AGREEING
+    apart = (F.col("hub") == F.col("p_hub")) & apart
+    return (F.col("root") != F.col("p_root")) & size & ~apart & here & agree
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -29,10 +29,24 @@ def root(spark: SparkSession) -> str:
     return held.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """For narrow rows: an eager checkpoint, removed by Spark when nothing refers to it."""
+#: Narrow rows that make up a partition at least, when a checkpoint is read.
+PARTITION_ROWS = 50_000
+
+
+def parts_of(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """For narrow rows: an eager checkpoint, removed by Spark when nothing refers to it.
+
+    It is read in as many partitions as its rows need, so that small tables in a loop don't
+    leave a file for every partition of every shuffle. ``parts``, where the caller knows how
+    many rows to expect, makes the last step run and write in no more partitions.
+    """
     root(df.sparkSession)
-    return df.checkpoint()
+    held = (df.coalesce(parts) if parts else df).checkpoint()
+    return held.coalesce(max(1, -(-held.count() // PARTITION_ROWS)))
 
 
 def stage(df: DataFrame) -> DataFrame:

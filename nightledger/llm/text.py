@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 SHINGLE = 5
 SIMILAR = 0.8
 #: Bytes of text that are turned into arrays at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
