@@ -7,11 +7,11 @@ over the whole corpus. The class comes from a window network: embeddings of the
 neighbours' classes, a hidden layer, a softmax. A document's score is the sum of the log
 probabilities of all its words.
 
-Training: one pass over the corpus counts the words and keeps the window around every word
-whose hash, with its neighbours', falls in one of ``SAMPLE`` parts; so the training set grows
-with the corpus. In each of ``ROUNDS`` rounds every task trains the current network on its
-windows with numpy; the results are averaged, weighted by windows, in a shuffle. The driver
-holds one network and the bucket counts, whose sizes don't depend on the corpus.
+Training: one pass over the corpus counts the words and writes each word's bucket. In each of
+``ROUNDS`` rounds every task trains the current network with numpy on the windows around all
+its words, ``BATCH`` at a time; the results are averaged, weighted by windows, in a shuffle.
+The driver holds one network and the bucket counts, whose sizes don't depend on the corpus.
+``SAMPLE`` above 1 trains on one in so many windows instead, for trials.
 
 Defined cases: null and empty texts and texts without a word have 0 words, a sum of 0 and a
 null mean; neighbours beyond a text's ends are a class of their own; repeated rows get equal
@@ -36,7 +36,7 @@ FREQUENT = 48
 SIDE = 2
 WIDTH = 16
 HIDDEN = 24
-SAMPLE = 32
+SAMPLE = 1
 ROUNDS = 3
 BATCH = 256
 RATE = 0.05
@@ -89,27 +89,44 @@ class Network:
             at += x.size
         return Network(*parts)
 
-    def train(self, context: np.ndarray, target: np.ndarray, seed: int) -> None:
-        """One pass in batches, with steps scaled by past gradients (Adagrad)."""
-        past = [np.full(x.shape, 1e-6) for x in vars(self).values()]
+    def past(self) -> np.ndarray:
+        """Squared gradients before the first step."""
+        return np.full(len(self.flat()), 1e-6, np.float32)
+
+    def train(self, context: np.ndarray, target: np.ndarray, seed: int, past: np.ndarray | None = None) -> None:
+        """One pass in batches, with steps scaled by past gradients (Adagrad), which are updated."""
+        past = self.past() if past is None else past
+        value = self.flat().astype(np.float32)
+        step = np.zeros_like(value)
+        now, to = self.like(value), self.like(step)  # views
+        parts, dparts = (n.hidden.reshape(2 * SIDE, WIDTH, HIDDEN) for n in (now, to))
+        # every neighbour is one of few classes: its products are looked up, and summed by class
+        context = context + np.arange(2 * SIDE) * (CLASSES + 1)
+        slot = np.arange(BATCH)[:, None]
         order = np.random.default_rng(seed).permutation(len(target))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            c, t = context[rows], target[rows]
-            x = self.embedding[c].reshape(len(rows), -1)
-            h = np.tanh(x @ self.hidden + self.hidden_bias)
-            z = h @ self.out + self.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
+            c, t, k = context[rows], target[rows], np.arange(len(rows))
+            tables = (now.embedding @ parts).reshape(-1, HIDDEN)
+            h = np.tanh(sum(tables[c[:, i]] for i in range(2 * SIDE)) + now.hidden_bias)
+            z = h @ now.out
+            z += now.out_bias
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
             z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), t] -= 1
+            z[k, t] -= 1
             z /= len(rows)
-            dh = (z @ self.out.T) * (1 - h * h)
-            de = np.zeros_like(self.embedding)
-            np.add.at(de, c.ravel(), (dh @ self.hidden.T).reshape(-1, WIDTH))
-            steps = (de, x.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0))
-            for value, step, held in zip(vars(self).values(), steps, past, strict=True):
-                held += step * step
-                value -= RATE * step / np.sqrt(held)
+            dh = (z @ now.out.T) * (1 - h * h)
+            seen = np.zeros((len(rows), len(tables)), np.float32)
+            seen[slot[: len(rows)], c] = 1
+            by_class = (seen.T @ dh).reshape(2 * SIDE, CLASSES + 1, HIDDEN)
+            to.embedding[:] = (by_class @ parts.transpose(0, 2, 1)).sum(axis=0)
+            dparts[:] = now.embedding.T @ by_class
+            to.hidden_bias[:], to.out[:], to.out_bias[:] = dh.sum(axis=0), h.T @ z, z.sum(axis=0)
+            past += step * step
+            value -= np.float32(RATE) * step / np.sqrt(past)
+        for held, new in zip(vars(self).values(), vars(now).values(), strict=True):
+            held[:] = new
 
 
 @dataclass
@@ -147,11 +164,15 @@ class Model:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Bucket counts of each task, and sampled windows of each block of texts, written."""
+    """Bucket counts of each task, and the buckets of each block's words, written.
+
+    ``windows`` holds the buckets, from which ``near`` makes the windows, and ``sizes`` how many
+    words each text has.
+    """
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        kind = pa.schema([("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("windows", pa.binary())])
+        kind = pa.schema([("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("windows", pa.binary()), ("sizes", pa.list_(pa.int32()))])
         for batch in batches:
             for _, texts in blocks(batch):
                 w = words(texts)
@@ -159,14 +180,20 @@ def gather(docs: DataFrame) -> DataFrame:
                     continue
                 own = buckets(w)
                 total += np.bincount(own, minlength=BUCKETS)
-                near = windows(own, w.text, BUCKETS)
-                chosen = mix(mix(near.astype(np.uint64)).sum(axis=1, dtype=np.uint64)) % np.uint64(SAMPLE) == 0
-                held = near[chosen].astype("<i4").tobytes()
-                yield pa.RecordBatch.from_pylist([{"bucket": None, "n": None, "windows": held}], kind)
+                row = {"bucket": None, "n": None, "windows": own.astype("<u2").tobytes(), "sizes": w.count}
+                yield pa.RecordBatch.from_pylist([row], kind)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]).cast(kind[0].type), pa.array([total[at]]), pa.array([None], pa.binary())], schema=kind)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]).cast(kind[0].type), pa.array([total[at]]), pa.array([None], pa.binary()), pa.array([None], kind[3].type)], schema=kind)
+
+    return stage(docs.select("text").mapInArrow(run, "bucket array<int>, n array<long>, windows binary, sizes array<int>"))
+
 
-    return stage(docs.select("text").mapInArrow(run, "bucket array<int>, n array<long>, windows binary"))
+def near(held: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The windows of a block's words, as buckets."""
+    found = windows(np.frombuffer(held, "<u2").astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), BUCKETS)
+    if SAMPLE > 1:
+        found = found[mix(mix(found.astype(np.uint64)).sum(axis=1, dtype=np.uint64)) % np.uint64(SAMPLE) == 0]
+    return found
 
 
 def class_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,12 +222,12 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         def run(batches, number=number, shared=shared):
             start, classes = shared.value
             own = start.like(start.flat().copy())
-            seen = 0
+            seen, past = 0, own.past()
             for batch in batches:
-                for held in batch.column(0).to_pylist():
-                    near = classes[np.frombuffer(held, "<i4").reshape(-1, 2 * SIDE + 1)]
-                    own.train(np.delete(near, SIDE, axis=1), near[:, SIDE], SEED + number)
-                    seen += len(near)
+                for i in range(len(batch)):
+                    found = classes[near(batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy())]
+                    own.train(np.delete(found, SIDE, axis=1), found[:, SIDE], SEED + number, past)
+                    seen += len(found)
             if seen:
                 values = own.flat()
                 yield pa.RecordBatch.from_arrays(
@@ -208,7 +235,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
                     ["place", "value", "n"],
                 )
 
-        rows = gathered.where("windows is not null").select("windows").mapInArrow(run, "place int, value double, n long")
+        rows = gathered.where("windows is not null").select("windows", "sizes").mapInArrow(run, "place int, value double, n long")
         means = rows.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
         if not means:
             break

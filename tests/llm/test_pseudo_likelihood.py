@@ -90,3 +90,33 @@ def test_odd_rows(spark):
     assert got.count() == docs.count() and all(np.isfinite(r.log_likelihood) for r in got.collect())
     empty = spark.createDataFrame([], samples.SCHEMA)
     assert P.score(empty, P.fit(empty)).count() == 0
+
+
+def test_every_window_is_trained_on(spark):
+    docs = spark.createDataFrame([(i, samples.prose(40 + i, i, 90)) for i in range(30)], "doc_id long, text string")
+    held = P.gather(docs).where("windows is not null").collect()
+    found = np.concatenate([P.near(r.windows, np.array(r.sizes)) for r in held])
+    want = []
+    for _, text in docs.collect():
+        own = [P.BUCKETS] * P.SIDE + P.buckets(words([text])).tolist() + [P.BUCKETS] * P.SIDE
+        want += [own[i : i + 2 * P.SIDE + 1] for i in range(len(own) - 2 * P.SIDE)]
+    assert sorted(found.tolist()) == sorted(want)
+
+
+def test_steps_equal_the_plain_gradient():
+    rnd = np.random.default_rng(1)
+    context, target = rnd.integers(0, P.CLASSES + 1, (P.BATCH, 4)), rnd.integers(0, P.CLASSES, P.BATCH)
+    net = P.Network.start(np.full(P.CLASSES, 1 / P.CLASSES))
+    x = net.embedding[context].reshape(len(target), -1)
+    h = np.tanh(x @ net.hidden + net.hidden_bias)
+    z = np.exp(h @ net.out + net.out_bias)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(target)), target] -= 1
+    z /= len(target)
+    dh = (z @ net.out.T) * (1 - h * h)
+    de = np.zeros_like(net.embedding)
+    np.add.at(de, context.ravel(), (dh @ net.hidden.T).reshape(-1, P.WIDTH))
+    past = net.past()
+    net.train(context, target, 0, past)
+    want = np.concatenate([g.ravel() for g in (de, x.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0))])
+    assert np.sqrt(np.maximum(past - 1e-6, 0)) == pytest.approx(np.abs(want), rel=1e-3, abs=1e-5)
