@@ -19,6 +19,7 @@ from . import (
     pseudo_likelihood,
     sharding,
     url_filter,
+    whitening,
 )
 from .shipping import shipped
 
@@ -37,6 +38,7 @@ def queries() -> dict[str, Query]:
         url_filter.op8_url_filter,
         sharding.op9_shards,
         language_id.op10_language_id,
+        whitening.op11_whitening,
     ]
     own = {f.__name__: shipped(f) for f in known}
     return own | {"pipeline": corpus_pipeline.run}
