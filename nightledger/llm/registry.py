@@ -12,6 +12,7 @@ from . import (
     chaining,
     dart_minhash,
     decontaminate,
+    html_extraction,
     language_id,
     mixing,
     one_bit_ann,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
         sharding.op9_shards,
         language_id.op10_language_id,
         whitening.op11_whitening,
+        html_extraction.op13_main_text,
     ]
     own = {f.__name__: shipped(f) for f in known}
     return own | {"pipeline": corpus_pipeline.run}
