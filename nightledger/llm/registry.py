@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from . import (
     chaining,
+    collocations,
     dart_minhash,
     decontaminate,
     html_extraction,
@@ -40,6 +41,7 @@ def queries() -> dict[str, Query]:
         sharding.op9_shards,
         language_id.op10_language_id,
         whitening.op11_whitening,
+        collocations.op12_collocations,
         html_extraction.op13_main_text,
     ]
     own = {f.__name__: shipped(f) for f in known}
@@ -47,4 +49,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": one_bit_ann.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL}
+    return {
+        "op2_nearest": one_bit_ann.ORACLE_SQL,
+        "op3_mixing": mixing.ORACLE_SQL,
+        "op12_collocations": collocations.ORACLE_SQL,
+    }
