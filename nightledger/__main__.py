@@ -1,4 +1,4 @@
-"""Raw CSV files to clean tables, master table, load files, insights and report.
+"""Raw CSV files to clean tables, master table, load files, price model, insights and report.
 
 python -m nightledger --listings L.csv --calendar C.csv --reviews R.csv --out DIR
 """
@@ -12,7 +12,7 @@ import os
 from pyspark.sql import SparkSession
 
 from nightledger.operators import audit
-from nightledger.plans import insights, library
+from nightledger.plans import insights, library, pricing
 from nightledger.plans.warehouse import Warehouse
 from nightledger.session import build_session
 from nightledger.sources import files, tables
@@ -28,11 +28,15 @@ def run(
     out: str,
     as_of: str,
     allowed: set[tuple[str, str]] = frozenset(ALLOWED),
+    model: bool = True,
 ) -> Warehouse:
-    """Nothing is exported when a rule is broken that is not in ``allowed``."""
+    """Nothing is exported when a rule is broken that is not in ``allowed``; ``model`` also
+    trains, scores and saves the price model."""
     w = Warehouse.of_files(spark, paths, as_of, root=os.path.join(out, "stages"))
     audit.enforce(audit.gate_report(w.tables(), library.q16_month_coverage(w)), set(allowed))
     files.export_tables(w.tables(), os.path.join(out, "load"))
+    if model:
+        pricing.train_and_score(w, out)
     pack = insights.build(w["master"], w["monthly_agg"])
     tables.write_csv(pack.drop("position"), os.path.join(out, "business_insights"))
     lines = insights.report_lines(pack, insights.market_totals(w["master"]))
@@ -48,10 +52,11 @@ def main() -> None:
     parser.add_argument(
         "--allow", action="append", default=[], metavar="TABLE:RULE", help="rule that may be broken"
     )
+    parser.add_argument("--skip-model", action="store_true", help="do not train the price model")
     args = parser.parse_args()
     allowed = ALLOWED | {tuple(x.split(":", 1)) for x in args.allow}
     paths = {name: getattr(args, name) for name in ("listings", "calendar", "reviews")}
-    run(build_session(), paths, args.out, args.as_of, allowed)
+    run(build_session(), paths, args.out, args.as_of, allowed, not args.skip_model)
 
 
 if __name__ == "__main__":

@@ -20,7 +20,7 @@ def raw_files(w, tmp_path_factory):
 
 
 def test_files_give_the_same_tables(spark, w, raw_files, tmp_path):
-    done = run(spark, raw_files, str(tmp_path), AS_OF)
+    done = run(spark, raw_files, str(tmp_path), AS_OF, model=False)
     same = ["hosts", "listing_performance", "calendar_daily", "neighbourhoods"]
     for name in same:
         ours, theirs = done[name], w[name].select(done[name].columns)
@@ -63,7 +63,7 @@ def test_calendar_without_prices_uses_the_listing(spark, raw_files, tmp_path):
     bare = str(tmp_path / "bare")
     cal = files.read_raw_csv(spark, raw_files["calendar"], multiline=False)
     tables.write_csv(cal.drop("price"), bare)
-    done = run(spark, {**raw_files, "calendar": bare}, str(tmp_path / "out"), AS_OF)
+    done = run(spark, {**raw_files, "calendar": bare}, str(tmp_path / "out"), AS_OF, model=False)
     joined = done["calendar_clean"].join(
         done["listings_clean"].select(F.col("id").alias("listing_id"), F.col("price").alias("own")),
         "listing_id",

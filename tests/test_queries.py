@@ -27,8 +27,12 @@ def con():
     return connect(SF_DIR)
 
 
-def test_sql_only_for_known_queries():
-    assert set(SQL) == set(QUERIES)
+# Numbers of a fitted forest; tests/test_forest.py checks them in another engine.
+WITHOUT_SQL = {"l06_forest_metrics", "l08_importance_weights"}
+
+
+def test_sql_for_all_other_queries():
+    assert set(SQL) == set(QUERIES) - WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
