@@ -57,6 +57,11 @@ def listing_metrics(monthly: DataFrame) -> DataFrame:
         F.sum("open_price_sum").alias("open_price_sum"),
         F.sum("open_nights").alias("open_nights"),
     )
+    return kpis(sums)
+
+
+def kpis(sums: DataFrame) -> DataFrame:
+    """Occupancy, ADR, RevPAR and the open price of listings whose sums are known."""
     booked, tracked = F.col("booked_nights"), F.col("total_nights_tracked")
     revenue = F.col("revenue_estimate")
     return sums.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions import parsing
 from nightledger.operators import audit, clean, features, incremental, star
+from nightledger.operators.refresh import CalendarStore
 from nightledger.plans import library
 from nightledger.schemas import LISTING_COLUMNS, MEDIAN_FILLED
 from nightledger.sources import files, tables
@@ -424,6 +425,29 @@ def x01_incremental_load(w):
     )
 
 
+def _refreshed(w) -> CalendarStore:
+    """Both arrivals delivered to a store of this warehouse, once."""
+    path = os.path.join(w.root, "calendar_store")
+    store = CalendarStore(w.spark, path, w["listings"])
+    first, second = incremental.split_arrivals(w["calendar_daily"])
+    store.deliver(first, "first")
+    store.deliver(second, "second")
+    return store
+
+
+def x01_refreshed_monthly(w) -> DataFrame:
+    """Monthly sums after the second arrival, merged from its deltas."""
+    return _refreshed(w).monthly().drop("booked_cents")
+
+
+def x01_refreshed_metrics(w) -> DataFrame:
+    return _refreshed(w).metrics()
+
+
+def x01_refreshed_fact(w) -> DataFrame:
+    return _refreshed(w).fact_monthly()
+
+
 def x02_quality_gate(w):
     return audit.gate_report(w.tables(), library.q16_month_coverage(w))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.ctes import AS_OF, COMPOSITE, MEDIANS, ROOMS, div
+from oracle.ctes import AS_OF, COMPOSITE, MEDIANS, ROOMS, div, even
 
 NIGHT_SPLIT = "year(calendar_date) = 2001"
 
@@ -366,6 +366,34 @@ SQL = {
     "x01_incremental_load": "SELECT strftime(calendar_date, '%Y-%m') AS year_month, "
     "CAST(count(*) AS BIGINT) AS nights, CAST(sum(price) AS DOUBLE) AS price_total "
     f"FROM ({SNAPSHOT}) GROUP BY 1",
+    # a rebuild from all nights as they stand after both arrivals
+    "x01_refreshed_monthly": f"""SELECT listing_id AS id, strftime(calendar_date, '%Y-%m') AS year_month,
+      CAST(count(*) AS BIGINT) AS nights_tracked,
+      CAST(count(*) FILTER (WHERE is_available = 0) AS BIGINT) AS nights_booked,
+      CAST(sum(price) FILTER (WHERE is_available = 0) AS DOUBLE) AS booked_revenue,
+      CAST(sum(price) FILTER (WHERE is_available = 1) AS DOUBLE) AS open_price_sum,
+      CAST(count(price) FILTER (WHERE is_available = 1) AS BIGINT) AS open_nights,
+      min(calendar_date) AS first_night, max(calendar_date) AS last_night
+      FROM ({SNAPSHOT}) GROUP BY 1, 2""",
+    "x01_refreshed_metrics": f"""SELECT id, {longs('total_nights_tracked booked_nights')},
+      calendar_start, calendar_end, open_sum / nullif(open_nights, 0) AS avg_open_listing_price,
+      CAST(revenue AS DOUBLE) AS revenue_estimate,
+      {even("booked_nights / CAST(total_nights_tracked AS DOUBLE)", 4)} AS occupancy_rate,
+      CASE WHEN booked_nights > 0 THEN {even("CAST(revenue AS DOUBLE) / booked_nights")} ELSE 0 END AS adr,
+      {even("CAST(revenue AS DOUBLE) / total_nights_tracked")} AS revpar
+      FROM (SELECT listing_id AS id, count(*) AS total_nights_tracked,
+        count(*) FILTER (WHERE is_available = 0) AS booked_nights,
+        min(calendar_date) AS calendar_start, max(calendar_date) AS calendar_end,
+        coalesce(sum(price) FILTER (WHERE is_available = 0), 0) AS revenue,
+        CAST(sum(price) FILTER (WHERE is_available = 1) AS DOUBLE) AS open_sum,
+        count(price) FILTER (WHERE is_available = 1) AS open_nights
+        FROM ({SNAPSHOT}) GROUP BY 1)""",
+    "x01_refreshed_fact": f"""SELECT s.listing_id AS ListingKey, strftime(calendar_date, '%Y-%m') AS YearMonth,
+      CAST(coalesce(sum(price) FILTER (WHERE is_available = 0), 0) AS DOUBLE) AS BookedRevenue,
+      CAST(count(*) FILTER (WHERE is_available = 0) AS BIGINT) AS IsBooked, CAST(count(*) AS BIGINT) AS Nights,
+      host_id AS HostKey, neighbourhood_id AS NeighbourhoodKey
+      FROM ({SNAPSHOT}) s LEFT JOIN listings l ON l.listing_id = s.listing_id
+      GROUP BY 1, 2, host_id, neighbourhood_id""",
     "x02_quality_gate": X02,
     "x03_combine_snapshots": "SELECT snapshot_date, CAST(count(*) AS BIGINT) AS nights, "
     f"CAST(sum(price) AS DOUBLE) AS price_total FROM ({SNAPSHOT}) GROUP BY 1",
