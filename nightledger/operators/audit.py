@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.schemas import TABLES
@@ -81,10 +81,42 @@ REQUIRED = {
 }
 
 
+#: Stages whose write also counts the rows of a table that is a projection of them.
+PROJECTED = {
+    "calendar_clean": ("calendar_daily", {"calendar_date": "date", "is_available": "available"}),
+    "reviews_clean": ("reviews", {"review_date": "date"}),
+}
+BOOKED = {"booked_nights <= total_nights_tracked": "booked_nights > total_nights_tracked"}
+#: What the writes counted: by table the number of rows ("rows") and of violations by rule.
+Counts = dict[str, dict[str, int]]
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _range_rules(table: str) -> dict[str, Column]:
+    return {rule: ~F.expr(sql) for rule, sql in RANGE_RULES.get(table, {}).items()}
+
+
+def _required_rules(table: str, names: dict[str, str] | None = None) -> dict[str, Column]:
+    names = names or {}
+    return {f"{c} filled": F.col(names.get(c, c)).isNull() for c in REQUIRED.get(table, [])}
+
+
+def _booked_rules(table: str) -> dict[str, Column]:
+    return {r: F.expr(sql) for r, sql in BOOKED.items()} if table == "listing_performance" else {}
+
+
+def watched(stage: str) -> tuple[str, dict[str, Column]]:
+    """The table a stage holds, and what to count while it is written."""
+    table, names = PROJECTED.get(stage, (stage, {}))
+    if table not in TABLES:
+        return table, {}
+    rules = _range_rules(table) | _booked_rules(table) | _required_rules(table, names)
+    return table, {"rows": F.count(F.lit(1)), **{r: F.count_if(c) for r, c in rules.items()}}
+
+
 def _counts_by_rule(df: DataFrame, table: str, broken: dict) -> DataFrame:
     """One pass over the table, one output row per rule."""
     totals = df.agg(*[F.count_if(c).alias(f"r{i}") for i, c in enumerate(broken.values())])
@@ -97,71 +129,145 @@ def _counts_by_rule(df: DataFrame, table: str, broken: dict) -> DataFrame:
     ).select("table_name", "c.rule", "c.violations")
 
 
-def range_audit(tables: Tables) -> DataFrame:
+def _report(tables: Tables, rules: dict[str, dict[str, Column]], counts: Counts | None) -> DataFrame:
+    """A row per rule: from the counts where the write took them, else from a pass over the table."""
+    known = [(t, r, counts[t][r]) for t, by in rules.items() if counts and t in counts for r in by]
+    frames = [
+        _counts_by_rule(tables[t], t, by) for t, by in rules.items() if not (counts and t in counts)
+    ]
+    if known:
+        spark = next(iter(tables.values())).sparkSession
+        schema = "table_name string, rule string, violations bigint"
+        frames.append(spark.createDataFrame(known, schema))
+    return _stack(frames)
+
+
+def range_audit(tables: Tables, counts: Counts | None = None) -> DataFrame:
     """Violations of every value-range rule."""
-    return _stack(
-        [
-            _counts_by_rule(
-                tables[t], t, {rule: ~F.expr(sql) for rule, sql in rules.items()}
-            )
-            for t, rules in RANGE_RULES.items()
-        ]
-    )
+    return _report(tables, {t: _range_rules(t) for t in RANGE_RULES}, counts)
 
 
-def booked_within_tracked(performance: DataFrame) -> DataFrame:
+def booked_within_tracked(performance: DataFrame, counts: Counts | None = None) -> DataFrame:
     """K02."""
-    rule = {"booked_nights <= total_nights_tracked": F.expr("booked_nights > total_nights_tracked")}
-    return _counts_by_rule(performance, "listing_performance", rule)
+    name = "listing_performance"
+    return _report({name: performance}, {name: _booked_rules(name)}, counts)
 
 
-def uniqueness_audit(tables: Tables) -> DataFrame:
-    """Rows beyond the first of each key."""
-
-    def repeats(table: str, key: list[str]) -> DataFrame:
-        per_key = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        return per_key.agg(
-            F.lit(table).alias("table_name"),
-            F.lit("unique " + ", ".join(key)).alias("rule"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"),
-        )
+def not_null_audit(tables: Tables, counts: Counts | None = None) -> DataFrame:
+    """K05."""
+    return _report(tables, {t: _required_rules(t) for t in REQUIRED}, counts)
+
+
+def _key(df: DataFrame, column: str) -> list[Column]:
+    """A key of any type as (number, text)."""
+    text = dict(df.dtypes)[column] == "string"
+    number = F.lit(None).cast("bigint") if text else F.col(column).cast("bigint")
+    return [number.alias("number"), (F.col(column) if text else F.lit(None).cast("string")).alias("text")]
+
+
+def _key_counts(df: DataFrame, columns: dict[int, str]) -> DataFrame:
+    """(rule, number, text, n) for several key columns of a table, in one pass."""
+    cells = [F.struct(F.lit(i).alias("rule"), *_key(df, c)) for i, c in columns.items()]
+    keys = df.select(F.explode(F.array(*cells)).alias("k")).select("k.*")
+    return keys.groupBy("rule", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+
 
-    return _stack([repeats(t, key) for t, keys in UNIQUE_KEYS.items() for key in keys])
+def _rules_frame(df: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    rows = [(i, table, rule) for i, (table, rule) in enumerate(names)]
+    return df.sparkSession.createDataFrame(rows, "rule int, table_name string, name string")
 
 
-def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str, rule: str):
-    """Child rows whose key has no parent row; the child is reduced to its keys first."""
-    keys = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    lost = keys.join(parent.select(key), key, "left_anti")
-    return lost.agg(
-        F.lit(name).alias("table_name"),
-        F.lit(rule).alias("rule"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("violations"),
+def _by_rule(found: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """Sums of (rule, violations) with a row for every rule."""
+    sums = found.groupBy("rule").agg(F.sum("violations").alias("violations"))
+    return _rules_frame(found, names).join(sums, "rule", "left").select(
+        "table_name", F.col("name").alias("rule"), F.coalesce("violations", F.lit(0)).alias("violations")
     )
 
 
-def reference_audit(tables: Tables) -> DataFrame:
-    """K04."""
-    return _stack(
+def _repeated_days(df: DataFrame, by: list[str], day: str) -> DataFrame:
+    """Rows beyond the first of each (by, day): a month's days are the bits of a number, so a
+    row per month is shuffled instead of one per day."""
+    bit = F.expr(f"shiftleft(1L, dayofmonth({day}))")
+    groups = df.groupBy(*by, F.trunc(day, "month").alias("_month")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(bit)).alias("days")
+    )
+    # days that are missing are alike
+    return groups.select((F.col("n") - F.coalesce("days", F.lit(1))).alias("violations"))
+
+
+def uniqueness_audit(tables: Tables) -> DataFrame:
+    """Rows beyond the first of each key (K03): one pass over each table, one shuffle for all single keys."""
+    names, frames = [], []
+    for table, keys in UNIQUE_KEYS.items():
+        single = {}
+        for key in keys:
+            rule = len(names)
+            names.append((table, "unique " + ", ".join(key)))
+            if len(key) == 1:
+                single[rule] = key[0]
+            else:
+                days = _repeated_days(tables[table], key[:-1], key[-1])
+                frames.append(days.select(F.lit(rule).alias("rule"), "violations"))
+        if single:
+            frames.append(
+                _key_counts(tables[table], single).select("rule", (F.col("n") - 1).alias("violations"))
+            )
+    return _by_rule(_stack(frames), names)
+
+
+#: (table, rule, child, key in the child, name of the parent's keys, parent, key in the parent)
+Link = tuple[str, str, DataFrame, str, str, DataFrame, str]
+
+
+def orphans(links: list[Link]) -> DataFrame:
+    """Child rows whose key is filled and has no parent row, per link.
+
+    Each child is read once for all its links, each parent once for all children. Children are
+    reduced to their distinct keys with counts before one shuffle joins them with all parents.
+    """
+    names = [(table, rule) for table, rule, *_ in links]
+    parents = sorted({link[4] for link in links})
+    of_rule = F.array(*[F.lit(parents.index(link[4])) for link in links])
+    by_child: dict[str, dict[int, str]] = {}
+    child_of = {}
+    for i, (table, _, child, key, *_) in enumerate(links):
+        by_child.setdefault(table, {})[i] = key
+        child_of[table] = child
+    keys = _stack([_key_counts(child_of[t], columns) for t, columns in by_child.items()])
+    keys = keys.where("number IS NOT NULL OR text IS NOT NULL").withColumn(
+        "parent", F.element_at(of_rule, F.col("rule") + 1)
+    )
+    known = {link[4]: (link[5], link[6]) for link in links}
+    held = _stack(
         [
-            orphan_count(tables[child], tables[parent], key, child, f"{key} in {parent}")
-            for child, parent, key in REFERENCES
+            known[p][0].select(F.lit(i).alias("parent"), *_key(known[p][0], known[p][1]))
+            for i, p in enumerate(parents)
         ]
     )
+    equal = [keys["parent"] == held["parent"]]
+    equal += [keys[c].eqNullSafe(held[c]) for c in ("number", "text")]
+    lost = keys.join(held, equal, "left_anti")
+    return _by_rule(lost.select("rule", F.col("n").alias("violations")), names)
 
 
-def not_null_audit(tables: Tables) -> DataFrame:
-    """K05."""
-    return _stack(
+def reference_audit(tables: Tables) -> DataFrame:
+    """K04."""
+    return orphans(
         [
-            _counts_by_rule(tables[t], t, {f"{c} filled": F.col(c).isNull() for c in columns})
-            for t, columns in REQUIRED.items()
+            (child, f"{key} in {parent}", tables[child], key, parent, tables[parent], key)
+            for child, parent, key in REFERENCES
         ]
     )
 
 
-def row_counts(tables: Tables) -> DataFrame:
+def row_counts(tables: Tables, counts: Counts | None = None) -> DataFrame:
     """One row with the size of each of the eight tables."""
+    sizes = {t: counts[t]["rows"] for t in TABLES if counts and t in counts}
+    if len(sizes) == len(TABLES):
+        spark = next(iter(tables.values())).sparkSession
+        schema = ", ".join(f"{t} bigint" for t in TABLES)
+        return spark.createDataFrame([tuple(sizes[t] for t in TABLES)], schema)
     long = _stack(
         [
             tables[t].agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n"))
@@ -173,7 +279,7 @@ def row_counts(tables: Tables) -> DataFrame:
     )
 
 
-def gate_report(tables: Tables, missing_months: DataFrame) -> DataFrame:
+def gate_report(tables: Tables, missing_months: DataFrame, counts: Counts | None = None) -> DataFrame:
     """All audits in one frame, one row per rule."""
     gaps = missing_months.agg(
         F.lit("calendar_daily").alias("table_name"),
@@ -182,11 +288,11 @@ def gate_report(tables: Tables, missing_months: DataFrame) -> DataFrame:
     )
     return _stack(
         [
-            range_audit(tables),
-            booked_within_tracked(tables["listing_performance"]),
+            range_audit(tables, counts),
+            booked_within_tracked(tables["listing_performance"], counts),
             uniqueness_audit(tables),
             reference_audit(tables),
-            not_null_audit(tables),
+            not_null_audit(tables, counts),
             gaps,
         ]
     )

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.functions.numeric import clip, upper_clip
@@ -206,46 +204,32 @@ def clean_reviews(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
     return first_per_key_wide(df, ["id"], _row_order(df, order)) if "id" in df.columns else df
 
 
-def dropped_rows(raw_listings: DataFrame, raw_calendar: DataFrame, raw_reviews: DataFrame):
-    """Rows each cleaning step removes, one row per step."""
-    listings = type_listings(raw_listings).select("id", "price")
-    nights = raw_calendar.select(
-        F.col("date").alias("written"),
-        parse_as(F.col("date"), "date").alias("date"),
-        parse_as(F.col("available"), "flag").alias("available"),
-    )
-    reviews = raw_reviews.select(
-        "id", F.col("date").alias("written"), parse_as(F.col("date"), "date").alias("date")
-    )
-    unread = F.count_if(F.col("written").isNotNull() & F.col("date").isNull())
-
-    def step(df: DataFrame, table: str, reason: str, dropped: Column) -> DataFrame:
-        return df.agg(
-            F.lit(table).alias("table_name"),
-            F.lit(reason).alias("reason"),
-            F.count(F.lit(1)).alias("rows_before"),
-            F.coalesce(dropped, F.lit(0)).cast("bigint").alias("rows_dropped"),
-        )
+def dropped_counts(raw_name: str, df: DataFrame) -> dict[str, Column]:
+    """What C16 needs of a raw table, to be counted in the pass that writes it."""
+    rows = {"rows": F.count(F.lit(1))}
+    if raw_name == "listings":
+        price = parse_as(F.col("price"), "price").cast(MONEY)
+        return rows | {"no price": F.count_if(price.isNull())}
+    date = parse_as(F.col("date"), "date")
+    unread = F.count_if(F.col("date").isNotNull() & date.isNull())
+    if raw_name == "reviews":
+        return rows | {"no date": F.count_if(date.isNull()), "unread date text": unread}
+    gap = date.isNull() | parse_as(F.col("available"), "flag").isNull()
+    return rows | {"no date or state": F.count_if(gap), "unread date text": unread}
 
-    def repeats(df: DataFrame, table: str) -> DataFrame:
-        per_id = df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        return per_id.agg(
-            F.lit(table).alias("table_name"),
-            F.lit("duplicate id").alias("reason"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows_dropped"),
-        )
 
-    gap = F.col("date").isNull() | F.col("available").isNull()
-    return reduce(
-        DataFrame.unionByName,
-        [
-            step(listings, "listings", "no price", F.count_if(F.col("price").isNull())),
-            repeats(listings.where(F.col("price").isNotNull()), "listings"),
-            step(nights, "calendar", "no date or state", F.count_if(gap)),
-            step(nights, "calendar", "unread date text", unread),
-            step(reviews, "reviews", "no date", F.count_if(F.col("date").isNull())),
-            step(reviews, "reviews", "unread date text", unread),
-            repeats(reviews.where(F.col("date").isNotNull()), "reviews"),
-        ],
-    )
+def dropped_rows(spark: SparkSession, raw: dict[str, dict[str, int]], kept: dict[str, int]) -> DataFrame:
+    """Rows each cleaning step removes, one row per step.
+
+    ``raw`` has the counts of the three raw tables, ``kept`` the sizes of the clean listings
+    and reviews, whose ids are distinct.
+    """
+
+    def repeats(table: str, reason: str) -> tuple:
+        before = raw[table]["rows"] - raw[table][reason]
+        return (table, "duplicate id", before, before - kept[table])
+
+    steps = [(t, reason, c["rows"], n) for t, c in raw.items() for reason, n in c.items() if reason != "rows"]
+    steps += [repeats("listings", "no price"), repeats("reviews", "no date")]
+    schema = "table_name string, reason string, rows_before bigint, rows_dropped bigint"
+    return spark.createDataFrame(steps, schema)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.functions.labels import PRICE_CATEGORIES, sort_position
-from nightledger.operators.audit import orphan_count
+from nightledger.operators.audit import orphans
 
 Tables = dict[str, DataFrame]
 
@@ -225,10 +223,9 @@ RELATIONSHIPS = [
 
 def star_integrity(star: Tables) -> DataFrame:
     """Fact rows whose key has no dimension row, per relationship."""
-    checks = [
-        orphan_count(
-            star[fact].select(F.col(fact_key).alias(key)), star[dim], key, fact, f"{fact_key} in {dim}"
-        )
-        for dim, key, fact, fact_key in RELATIONSHIPS
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    return orphans(
+        [
+            (fact, f"{fact_key} in {dim}", star[fact], fact_key, dim, star[dim], key)
+            for dim, key, fact, fact_key in RELATIONSHIPS
+        ]
+    )

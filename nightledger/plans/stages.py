@@ -90,7 +90,7 @@ def s06_load_csv(w) -> DataFrame:
 
 
 def s07_load_counts(w) -> DataFrame:
-    return audit.row_counts(w.tables())
+    return audit.row_counts(w.tables(), w.counts())
 
 
 def s08_read_table(w) -> DataFrame:
@@ -182,7 +182,7 @@ def c15_strip_breaks(w):
 
 
 def c16_dropped_rows(w):
-    return clean.dropped_rows(w["raw_listings"], w["raw_calendar"], w["raw_reviews"])
+    return w.dropped_rows()
 
 
 def c17_clean_listings(w):
@@ -351,11 +351,11 @@ def n09_review_scores(w):
 
 
 def k01_value_ranges(w):
-    return audit.range_audit(w.tables())
+    return audit.range_audit(w.tables(), w.counts())
 
 
 def k02_booked_within_tracked(w):
-    return audit.booked_within_tracked(w["listing_performance"])
+    return audit.booked_within_tracked(w["listing_performance"], w.counts())
 
 
 def k03_uniqueness(w):
@@ -367,7 +367,7 @@ def k04_references(w):
 
 
 def k05_not_null(w):
-    return audit.not_null_audit(w.tables())
+    return audit.not_null_audit(w.tables(), w.counts())
 
 
 # -- star ---------------------------------------------------------------------------
@@ -449,7 +449,7 @@ def x01_refreshed_fact(w) -> DataFrame:
 
 
 def x02_quality_gate(w):
-    return audit.gate_report(w.tables(), library.q16_month_coverage(w))
+    return audit.gate_report(w.tables(), library.q16_month_coverage(w), w.counts())
 
 
 def x03_combine_snapshots(w):

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.operators import clean, features, normalize, star
+from nightledger.operators import audit, clean, features, normalize, star
 from nightledger.schemas import LISTING_COLUMNS, TABLES, with_provenance
 from nightledger.session import shared_dir
 from nightledger.sources import binding
@@ -49,6 +49,8 @@ class Warehouse:
         self.root = root or os.path.join(shared_dir(spark), f"nightledger-{uuid.uuid4().hex}")
         self._stages: dict[str, DataFrame] = {}
         self.models: set[str] = set()
+        # what the writes of the stages counted: by table, or by raw file
+        self._counts: dict[str, dict[str, int]] = {}
 
     # Stages that are written, and the column a stage is partitioned by.
     PARTITIONED = {"calendar_clean": "year_month", "fact_calendar": "YearMonth"}
@@ -67,7 +69,10 @@ class Warehouse:
             df = getattr(self, f"_{name}")()
             if name not in self.UNWRITTEN:
                 path = os.path.join(self.root, name)
-                write_stage(df, path, self.PARTITIONED.get(name))
+                table, counts = self._watched(name, df)
+                seen = write_stage(df, path, self.PARTITIONED.get(name), counts)
+                if seen:
+                    self._counts[table] = seen
                 df = read_stage(self.spark, path, df.schema)
             self._stages[name] = df
         return self._stages[name]
@@ -76,6 +81,30 @@ class Warehouse:
         """The eight normalised tables."""
         return {t: self[t] for t in TABLES}
 
+    def _watched(self, name: str, df: DataFrame):
+        if name.startswith("raw_"):
+            raw = name.removeprefix("raw_")
+            needed = {"listings": {"price"}, "calendar": {"date", "available"}, "reviews": {"date"}}
+            fits = needed[raw] <= set(df.columns)
+            return name, clean.dropped_counts(raw, df) if fits else {}
+        if name == "listings_clean":
+            return name, {"rows": F.count(F.lit(1))}
+        return audit.watched(name)
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """What was counted while the eight tables were written."""
+        self.tables()
+        return {t: self._counts[t] for t in TABLES}
+
+    def dropped_rows(self) -> DataFrame:
+        """C16, from the writes of the raw and the clean files."""
+        kept = {"listings": "listings_clean", "reviews": "reviews_clean"}
+        for name in ("raw_listings", "raw_calendar", "raw_reviews", *kept.values()):
+            self[name]
+        raw = {t: self._counts[f"raw_{t}"] for t in ("listings", "calendar", "reviews")}
+        sizes = {"listings": self._counts["listings_clean"], "reviews": self._counts["reviews"]}
+        return clean.dropped_rows(self.spark, raw, {t: c["rows"] for t, c in sizes.items()})
+
     def star(self) -> "Star":
         return Star(self)
 
@@ -84,6 +113,7 @@ class Warehouse:
         remove(self.spark, self.root)
         self._stages.clear()
         self.models.clear()
+        self._counts.clear()
         for key in [k for k, w in _open.items() if w is self]:
             del _open[key]
 

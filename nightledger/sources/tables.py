@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Overwrite a stage.
+def write_stage(
+    df: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    counts: dict[str, Column] | None = None,
+) -> dict[str, int]:
+    """Overwrite a stage (S05); the result has ``counts``, taken from the rows as they are written.
 
     A partitioned stage is rebalanced on its partition column first, which keeps the
     number of files low and lets the engine split a partition that holds most rows.
     """
     if partition_by:
         df = df.hint("rebalance", partition_by)
+    # after the shuffle, so that only the tasks that write count
+    seen = Observation() if counts else None
+    if seen:
+        df = df.observe(seen, *[c.alias(f"c{i}") for i, c in enumerate(counts.values())])
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    return {name: seen.get[f"c{i}"] for i, name in enumerate(counts)} if seen else {}
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
