@@ -288,13 +288,18 @@ def month_index(year_month: Column) -> Column:
     return parts[0].cast("int") * 12 + parts[1].cast("int")
 
 
+#: Months that look back on a month: itself, the next two, and the same one a year later.
+LOOKING_BACK = (0, 1, 2, 12)
+
+
 def time_measures(star, names: list[str], by: list[str], where: Where) -> DataFrame:
     """Growth, trailing average and running total along a month-based date column.
 
-    Every month's revenue is added to the months that look back on it (itself, the next
-    one, the same one a year later, the next two for the trailing total), so gaps in the
-    calendar never shift a comparison. The date filter chooses which months are shown;
-    the months they are compared with are always taken from the whole calendar.
+    The fact is summed per month once. RANGE frames over the month index then read the month
+    before, the one a year ago and the last three, so gaps in the calendar never shift a
+    comparison. The date filter chooses which months are shown and added up; the months they
+    are compared with are always taken from the whole calendar. The windows hold one row per
+    month of a group.
     """
     dates = [b for b in by if b.startswith("DimDate.")]
     if len(dates) != 1 or not _month_grain(_names(dates), where):
@@ -306,73 +311,44 @@ def time_measures(star, names: list[str], by: list[str], where: Where) -> DataFr
     monthly = (
         context(star, CALENDAR, [*others, "DimDate.YearMonth"], free)
         .groupBy(*other_keys, month_index(F.col("YearMonth")).alias("m"))
-        .agg(F.sum("BookedRevenue").alias("rev"))
+        .agg(F.sum("BookedRevenue").alias("current"))
     )
-    shifts = [
-        F.struct(
-            F.lit(k).alias("shift"),
-            F.lit(k == 0).alias("is_current"),
-            F.lit(k == 1).alias("is_prior"),
-            F.lit(k == 12).alias("is_last_year"),
-            F.lit(k < 3).alias("is_trailing"),
-        )
-        for k in (0, 1, 2, 12)
-    ]
-    spread = (
-        monthly.withColumn("s", F.explode(F.array(*shifts)))
-        .withColumn("m", F.col("m") + F.col("s.shift"))
-        .groupBy(*other_keys, "m")
-        .agg(
-            *[
-                F.sum(F.when(F.col(f"s.is_{c}"), F.col("rev"))).alias(c)
-                for c in ("current", "prior", "last_year", "trailing")
-            ]
+    if axis != "YearMonth":
+        # a quarter or year also counts its months without revenue of their own
+        spread = F.explode(F.array(*[F.lit(k) for k in LOOKING_BACK])).alias("shift")
+        own = F.when(F.col("shift") == 0, F.col("current"))
+        monthly = (
+            monthly.select("*", spread)
+            .groupBy(*other_keys, (F.col("m") + F.col("shift")).alias("m"))
+            .agg(F.sum(own).alias("current"))
         )
+    along = Window.partitionBy(*other_keys).orderBy("m")
+
+    def between(first: int, last: int) -> Column:
+        return F.sum("current").over(along.rangeBetween(first, last))
+
+    compared = monthly.withColumns(
+        {"prior": between(-1, -1), "last_year": between(-12, -12), "trailing": between(-2, 0)}
     )
     months = _filtered(star["DimDate"], where, "DimDate")
     labels = [axis] if axis == "YearMonth" else [axis, "YearMonth"]
     months = months.select(*labels).distinct().withColumn("m", month_index(F.col("YearMonth")))
-    seen = spread.join(months, "m")
+    # the running total is over months within the selection
+    seen = compared.join(months, "m").withColumn("running", F.sum("current").over(along))
     keys = [axis if b in dates else b.split(".")[1] for b in by]
-    shown = (
-        seen.groupBy(*keys)
-        .agg(
-            F.sum("current").alias("current"),
-            F.sum("prior").alias("prior"),
-            F.sum("last_year").alias("last_year"),
-            F.max("m").alias("last_month"),
-            F.max_by("trailing", "m").alias("trailing"),
-        )
-        .where(F.col("current").isNotNull())
-    )
-    if "cumulative_revenue" in names:
-        # The running total is over months within the selection: one row per month.
-        window = Window.partitionBy(*other_keys).orderBy("last_month")
-        per_month = (
-            seen.where(F.col("current").isNotNull())
-            .groupBy(*other_keys, F.col("m").alias("last_month"))
-            .agg(F.max("current").alias("rev"))
-            .withColumn("running", F.sum("rev").over(window))
-        )
-        totals = (
-            seen.where(F.col("current").isNotNull())
-            .select(*other_keys, axis, F.col("m").alias("last_month"))
-            .distinct()
-            .transform(
-                lambda df: _attach(df, per_month.drop("rev"), [*other_keys, "last_month"])
-            )
-            .groupBy(*keys)
-            .agg(F.max_by("running", "last_month").alias("running"))
+    if axis != "YearMonth":
+        seen = seen.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in ("current", "prior", "last_year")],
+            *[F.max_by(c, "m").alias(c) for c in ("trailing", "running")],
         )
-        shown = _attach(shown, totals, keys)
+    shown = seen.where(F.col("current").isNotNull())
     cur, prior, year = F.col("current"), F.col("prior"), F.col("last_year")
     values = {
         "revenue_mom_growth": ratio(cur - prior, prior),
         "revenue_yoy_growth": ratio(cur - year, year),
         "revenue_3m_avg": F.col("trailing").cast("double") / F.lit(3.0),
+        "cumulative_revenue": F.col("running").cast("double"),
     }
-    if "cumulative_revenue" in names:
-        values["cumulative_revenue"] = F.col("running").cast("double")
     return shown.select(*keys, *[values[n].alias(n) for n in names])
 
 
