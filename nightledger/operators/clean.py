@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from nightledger.functions.numeric import clip, upper_clip
 from nightledger.functions.parsing import first_number, parse_as, parse_price, strip_breaks
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
-from nightledger.operators.ranking import first_per_key, first_per_key_wide
+from nightledger.operators.ranking import (
+    first_per_key,
+    first_per_key_placed,
+    first_per_key_wide,
+)
 from nightledger.operators.scalars import with_values
-from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY
+from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY, ROW
 
 
 def keep_present(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]]:
@@ -119,7 +123,8 @@ def clean_typed_listings(typed: DataFrame, order: list[str] | None = None) -> Da
     The medians come from all typed rows, the price bounds from the surviving ones, so
     both are read from the narrow frames they need rather than from each other's output.
     """
-    extra = [c for c in order or [] if c not in LISTING_COLUMNS]
+    # a listing's place in the file also says which is the first of its host
+    extra = [c for c in order or [] if c not in LISTING_COLUMNS and c != ROW]
     kept = surviving_listings(typed, order)
     df = (
         kept.drop(*extra)
@@ -154,8 +159,10 @@ def calendar_price(cal: DataFrame, listing_prices: DataFrame | None = None) -> D
 def fill_listing_median(cal: DataFrame) -> DataFrame:
     """Missing night prices take the listing's own median, then 0 (C14).
 
-    Medians are computed only for listings that have a gap, and only the unpriced nights
-    are joined with them; priced nights, the bulk, are passed on without a shuffle.
+    Only the unpriced nights are joined with medians; priced nights, the bulk, are passed on
+    as they are. Medians are computed only for listings that have a gap: while the list of
+    these is small, Spark broadcasts it; beyond, (listing, price) of the priced nights is
+    shuffled once for it.
     """
     priced = cal.where(F.col("price").isNotNull())
     gaps = cal.where(F.col("price").isNull())
@@ -201,7 +208,12 @@ def clean_reviews(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
     if "comments" in raw.columns:
         columns["comments"] = strip_breaks(F.col("comments"))
     df = raw.withColumns(columns).dropna(subset=["date"])
-    return first_per_key_wide(df, ["id"], _row_order(df, order)) if "id" in df.columns else df
+    if "id" not in df.columns:
+        return df.drop(ROW)
+    if ROW in df.columns:
+        places = [*[c for c in order or [] if c != ROW], ROW]
+        return first_per_key_placed(df, ["id"], places).drop(ROW)
+    return first_per_key_wide(df, ["id"], _row_order(df, order))
 
 
 def dropped_counts(raw_name: str, df: DataFrame) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.numeric import half_away, half_even
 from nightledger.operators.features import VALUE_MULTIPLIER
 from nightledger.operators.ranking import first_per_key, global_row_numbers
-from nightledger.schemas import TABLES
+from nightledger.schemas import ROW, TABLES
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
@@ -32,11 +32,16 @@ def _flag(c: Column, default: bool = False) -> Column:
     return F.coalesce(c, F.lit(default)).cast("int")
 
 
+def _file_order(master: DataFrame) -> str:
+    """The place in the raw file, where that is known, else the listing's id."""
+    return ROW if ROW in master.columns else "id"
+
+
 def neighbourhoods(master: DataFrame) -> DataFrame:
-    """Distinct names in order with a dense key and the group of the first listing by id; a
-    missing name comes last (N01)."""
+    """Distinct names in order with a dense key and the group of the first listing of the file
+    (by id where the file's order isn't known); a missing name comes last (N01)."""
     group = "neighbourhood_group_cleansed"
-    chosen = F.min_by(group, "id") if group in master.columns else F.min(F.lit(None).cast("string"))
+    chosen = F.min_by(group, _file_order(master)) if group in master.columns else F.min(F.lit(None).cast("string"))
     names = master.groupBy(F.col("neighbourhood_cleansed").alias("neighbourhood_name")).agg(
         chosen.alias("neighbourhood_group")
     )
@@ -59,7 +64,8 @@ def with_neighbourhood_id(master: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def hosts(master: DataFrame) -> DataFrame:
-    """The host columns of each host's lowest listing id."""
+    """The host columns of each host's first listing of the file, or of its lowest listing id
+    where the file's order isn't known (N03)."""
     names = {
         "host_id": "host_id",
         "host_since": "host_since",
@@ -71,7 +77,7 @@ def hosts(master: DataFrame) -> DataFrame:
         "host_experience_years": "experience_years",
         "host_experience_tier": "experience_tier",
     }
-    narrow = _project(master, {**names, "id": "_listing"})
+    narrow = _project(master, {**names, _file_order(master): "_listing"})
     first = first_per_key(narrow, ["host_id"], [F.col("_listing").asc()])
     flags = {c: _flag(F.col(c)) for c in ("is_superhost", "identity_verified") if c in first.columns}
     return _typed(first.withColumns(flags), "hosts")

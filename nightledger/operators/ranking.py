@@ -164,6 +164,28 @@ def first_per_key_wide(df: DataFrame, keys: list[str], order: list[Column]) -> D
     return df.join(repeated, match, "left_anti").unionByName(again)
 
 
+def first_per_key_placed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``first_per_key_wide`` where ``order`` is different for any two rows.
+
+    The survivors of repeated keys are chosen on keys and places alone. One join then takes the
+    others out, so texts are shuffled once at most, and not at all while Spark can broadcast
+    the repeated keys.
+    """
+    place = F.struct(*order)
+    renamed = {c: f"_repeated_{c}" for c in keys}
+    repeated = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first"))
+        .where(F.col("_n") > 1)
+        .drop("_n")
+        .withColumnsRenamed(renamed)
+    )
+    match = [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()]
+    # the left row is kept if its key isn't repeated, or if it is the first of its key
+    kept = F.col("_first").isNull() | place.eqNullSafe(F.col("_first"))
+    return df.join(repeated, match, "left").where(kept).drop("_first", *renamed.values())
+
+
 def percent_rank_of(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """PERCENT_RANK over all rows: (rank - 1) / (rows - 1), 0 for a single row."""
     placed = global_positions(df, value, tie)

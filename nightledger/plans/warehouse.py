@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators import audit, clean, features, normalize, star
-from nightledger.schemas import LISTING_COLUMNS, TABLES, with_provenance
+from nightledger.schemas import LISTING_COLUMNS, ROW, TABLES, with_provenance
 from nightledger.session import shared_dir
 from nightledger.sources import binding
-from nightledger.sources.files import read_raw_csv
+from nightledger.sources.files import located, read_raw_csv
 from nightledger.sources.tables import read_stage, remove, write_stage
 
 STAR = {
@@ -127,12 +127,13 @@ class Warehouse:
     def of_files(
         cls, spark: SparkSession, paths: dict[str, str], as_of: str, root: str | None = None
     ) -> Warehouse:
-        """Over raw CSV files: listings, calendar, reviews."""
+        """Over raw CSV files: listings, calendar, reviews; of repeated ids the file's first row stays."""
 
         def read(name: str) -> DataFrame:
-            return read_raw_csv(spark, paths[name], multiline=name != "calendar")
+            nights = name == "calendar"
+            return read_raw_csv(spark, paths[name], multiline=not nights, locate=not nights)
 
-        return cls(spark, read, as_of, root=root)
+        return cls(spark, read, as_of, {"listings": [ROW], "reviews": [ROW]}, root)
 
     def _raw_listings(self) -> DataFrame:
         return self.raw("listings")
@@ -161,7 +162,10 @@ class Warehouse:
         return nights.withColumn("year_month", F.date_format("date", "yyyy-MM"))
 
     def _reviews_clean(self) -> DataFrame:
-        return clean.clean_reviews(self["raw_reviews"], self.order.get("reviews"))
+        raw = self["raw_reviews"]
+        # without a place in the files, the place in the written stage breaks ties
+        placed = raw if ROW in raw.columns else located(raw)
+        return clean.clean_reviews(placed, self.order.get("reviews"))
 
     def _monthly(self) -> DataFrame:
         return features.monthly_sums(self["calendar_clean"])

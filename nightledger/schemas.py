@@ -10,6 +10,9 @@ MONEY = "decimal(18,6)"
 CENTS = "decimal(12,2)"
 RATE = "decimal(5,4)"
 
+#: Where a raw row stands: file, split and place, sorting as the rows do in the files.
+ROW = "_file_row"
+
 # Raw columns that are kept, with the type each is read as.
 LISTING_COLUMNS = {
     "id": "bigint",

@@ -7,19 +7,37 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.schemas import TABLES
+from nightledger.schemas import ROW, TABLES
 from nightledger.sources.tables import write_csv
 
 
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """All columns as text, found by header name.
+def located(df: DataFrame) -> DataFrame:
+    """Rows read from files with their place in them.
+
+    A split's rows are read in order by one task, so the task's own numbering orders them;
+    path and start of the split order the splits. The value is unique and can be repeated:
+    reading the same files again gives the same order.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    return df.select("*", place.alias(ROW))
+
+
+def read_raw_csv(
+    spark: SparkSession, path: str, multiline: bool = True, locate: bool = False
+) -> DataFrame:
+    """All columns as text, found by header name (S01); ``locate`` adds each row's place.
 
     A file whose text holds line breaks cannot be split, so ``multiline`` files should
     arrive as many parts; the calendar holds no free text and is read without it.
     """
-    return spark.read.csv(
+    raw = spark.read.csv(
         path, header=True, inferSchema=False, multiLine=multiline, escape='"', enforceSchema=False
     )
+    return located(raw) if locate else raw
 
 
 def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -189,3 +189,57 @@ def test_empty_inputs_keep_the_schema(spark):
     assert out.collect() == [] and "host_response_rate_missing" in out.columns
     full = features.property_value(features.listing_features(out, "2002-01-01"), out)
     assert full.collect() == []
+
+
+def test_the_first_row_of_unsorted_files_wins(spark, tmp_path):
+    """As a reader of one file after the other would keep it; splits are far smaller than the files."""
+    import random
+
+    rnd, expected, lines = random.Random(5), {}, []
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    for part in range(3):
+        rows = []
+        for _ in range(400):
+            key, text = rnd.randrange(300), f"text {rnd.random()}" + "x" * rnd.randrange(200)
+            rows.append(f"{key},2024-01-{rnd.randrange(1, 29):02d},{text}")
+            expected.setdefault(key, text)
+        (folder / f"part-{part}.csv").write_text("\n".join(["id,date,comments", *rows, ""]))
+        lines += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("4096", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            raw = files.read_raw_csv(spark, str(folder), multiline=False, locate=True)
+            assert size != "4096" or raw.rdd.getNumPartitions() > 8
+            got = clean.clean_reviews(raw, ["_file_row"])
+            assert got.columns == ["id", "date", "comments"]
+            assert {r.id: r.comments for r in got.collect()} == expected and got.count() == len(expected)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_texts_are_joined_once(spark, tmp_path):
+    raw = spark.createDataFrame([(i % 50, "2024-01-01", "t") for i in range(100)], "id int, date string, comments string")
+    raw.write.parquet(str(tmp_path / "raw"))
+    held = files.located(spark.read.parquet(str(tmp_path / "raw")))
+    with_sizes = clean.clean_reviews(held, ["date"])
+    plan = with_sizes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and with_sizes.count() == 50
+
+
+def test_first_listing_and_host_follow_the_file(spark, tmp_path):
+    from nightledger.plans.warehouse import Warehouse
+    from nightledger.sources.binding import AS_OF
+
+    (tmp_path / "l").mkdir()
+    rows = ["7,9,$10.00,f,East", "3,9,$20.00,t,West", "7,8,$30.00,t,West", "5,8,,t,West", "5,8,$40.00,f,East", "5,8,$50.00,t,West"]
+    (tmp_path / "l" / "l.csv").write_text("\n".join(["id,host_id,price,host_is_superhost,neighbourhood_cleansed", *rows, ""]))
+    paths = {"listings": str(tmp_path / "l")}
+    w = Warehouse.of_files(spark, paths, AS_OF, root=str(tmp_path / "out"))
+    kept = {r.id: (r.host_id, float(r.price)) for r in w["listings_clean"].collect()}
+    assert kept == {7: (9, 10.0), 3: (9, 20.0), 5: (8, 40.0)}
+    from nightledger.operators import normalize
+
+    flags = {r.host_id: r.is_superhost for r in normalize.hosts(w["listings_clean"]).collect()}
+    assert flags == {9: 0, 8: 0}  # listing 7 comes before 3
