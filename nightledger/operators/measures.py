@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nightledger.functions.labels import OVERPRICED, UNDERPRICED, WELL_PRICED
 from nightledger.functions.numeric import ratio
-from nightledger.operators.ranking import global_positions
+from nightledger.operators.ranking import global_dense_rank
 from nightledger.operators.scalars import with_values
 from nightledger.operators.star import RELATIONSHIPS
 
@@ -366,10 +366,7 @@ def listing_revenue_rank(star, where: Where | None = None) -> DataFrame:
     ranked = ranked.select(
         "ListingKey", F.coalesce("rev", F.lit(0)).cast("double").alias("total_revenue")
     )
-    placed = global_positions(ranked, "total_revenue", "ListingKey", descending=True)
-    return placed.select(
-        "ListingKey", "total_revenue", F.col("dense_rank").cast("bigint").alias("revenue_rank")
-    )
+    return global_dense_rank(ranked, "total_revenue", "revenue_rank", descending=True)
 
 
 def top_ten_flag(ranked: DataFrame) -> DataFrame:
@@ -391,12 +388,8 @@ def neighbourhood_revenue_rank(star, where: Where | None = None) -> DataFrame:
         "NeighbourhoodName",
         F.coalesce("rev", F.lit(0)).cast("double").alias("total_revenue"),
     )
-    placed = global_positions(rows, "total_revenue", "NeighbourhoodKey", descending=True)
-    return placed.select(
-        "NeighbourhoodName",
-        "total_revenue",
-        F.col("dense_rank").cast("bigint").alias("revenue_rank"),
-    )
+    placed = global_dense_rank(rows, "total_revenue", "revenue_rank", descending=True)
+    return placed.select("NeighbourhoodName", "total_revenue", "revenue_rank")
 
 
 def select_metric(star, metric: str, by: list[str], where: Where | None = None) -> DataFrame:

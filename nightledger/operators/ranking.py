@@ -117,6 +117,20 @@ def global_positions(df: DataFrame, value: str, tie: str, descending: bool = Fal
     )
 
 
+def global_dense_rank(df: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
+    """Add ``name``, the dense rank of ``value`` over all rows; NULL is a value of its own.
+
+    Only the distinct values are ordered: their place is the rank. Rows are joined with them
+    once, without a shuffle while Spark can broadcast the values, and otherwise with one that
+    it can split where a value is frequent.
+    """
+    values = df.groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_count"))
+    ranked = global_row_numbers(values, "_value", "_value", descending).select(
+        "_value", F.col("row_number").cast("bigint").alias(name)
+    )
+    return df.join(ranked, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def ntile_of(row: Column, total: Column, buckets: int) -> Column:
     """NTILE from a row number: the first ``total % buckets`` buckets hold one row more."""
     size = F.floor(total / buckets)

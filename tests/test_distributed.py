@@ -135,3 +135,22 @@ def test_empty_inputs(spark):
     assert quantiles.exact_quantiles(empty, "v", {"m": 0.5}).collect() == []
     assert quantiles.exact_quantiles(empty, "v", {"m": 0.5}, by=["g"]).collect() == []
     assert ranking.global_positions(empty, "v", "id").collect() == []
+
+
+def test_dense_rank_by_values(spark):
+    """Equal values in many partitions, NULLs, and both directions."""
+    import random
+
+    from nightledger.operators.ranking import global_dense_rank
+
+    rnd = random.Random(3)
+    values = [rnd.choice([0.0, 0.0, 0.0, None, float(rnd.randrange(40)), -2.5]) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double").repartition(16)
+    for descending in (False, True):
+        known = sorted({v for v in values if v is not None}, reverse=descending)
+        order = [*known, None] if descending else [None, *known]
+        want = {k: order.index(v) + 1 for k, v in enumerate(values)}
+        for threshold in ("-1", "10485760"):  # by shuffle, and by broadcast
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            got = global_dense_rank(df, "v", "place", descending).collect()
+            assert {r.k: r.place for r in got} == want and len(got) == len(values)
