@@ -36,6 +36,7 @@ def run(
     report = audit.gate_report(w.tables(), library.q16_month_coverage(w), w.counts())
     audit.enforce(report, set(allowed))
     files.export_tables(w.tables(), os.path.join(out, "load"))
+    tables.write_csv(w.rejected(), os.path.join(out, "rejected"))
     if model:
         pricing.train_and_score(w, out)
     pack = insights.build(w["master"], w["monthly_agg"])

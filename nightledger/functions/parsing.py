@@ -71,6 +71,12 @@ def amenity_count(c: Column) -> Column:
     return F.when(c.isNull() | c.isin("", "nan"), 0).otherwise(F.size(F.split(inner, ",")))
 
 
+def rejected(c: Column, parsed: Column) -> Column:
+    """The text that should have given a value and gave none, else NULL."""
+    text = c.cast("string")
+    return F.when(parsed.isNull() & ~strip(text).isin(NULL_TOKENS), text)
+
+
 PARSERS = {
     "price": parse_price,
     "percent": parse_percent,

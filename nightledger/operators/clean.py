@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.functions.numeric import clip, upper_clip
-from nightledger.functions.parsing import first_number, parse_as, parse_price, strip_breaks
+from nightledger.functions.parsing import first_number, parse_as, parse_price, rejected, strip_breaks
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
 from nightledger.operators.ranking import (
     first_per_key,
@@ -14,7 +14,7 @@ from nightledger.operators.ranking import (
     first_per_key_wide,
 )
 from nightledger.operators.scalars import with_values
-from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY, ROW
+from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY, REJECTED, ROW
 
 
 def keep_present(df: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]]:
@@ -36,6 +36,39 @@ def _row_order(df: DataFrame, order: list[str] | None) -> list[Column]:
     return [F.col(c).asc() for c in (order or df.columns)]
 
 
+# How the other raw columns are read.
+CALENDAR_TYPES = {"listing_id": "bigint", "date": "date", "available": "flag", "price": "price", "adjusted_price": "price"}
+REVIEW_TYPES = {"id": "bigint", "listing_id": "bigint", "reviewer_id": "bigint", "date": "date"}
+RAW_TYPES = {"listings": LISTING_COLUMNS, "calendar": CALENDAR_TYPES, "reviews": REVIEW_TYPES}
+
+
+def with_rejected(raw: DataFrame, name: str) -> DataFrame:
+    """Raw rows with their cells that typing turns into NULL, in the pass that writes them.
+
+    The column is NULL in rows without such a cell, so that reading it alone is cheap. The
+    place of a night goes there too and is not kept for the others.
+    """
+    types = {c: k for c, k in RAW_TYPES[name].items() if c in raw.columns and k != "string"}
+    cells = []
+    for c, kind in types.items():
+        text = rejected(F.col(c), parse_as(F.col(c), kind))
+        cells.append(F.when(text.isNotNull(), F.struct(F.lit(c).alias("column"), text.alias("text"))))
+    listed = F.array_compact(F.array(*cells)) if cells else F.array()
+    place = F.col(ROW) if ROW in raw.columns else F.lit(None).cast("struct<path:string,split:bigint,place:bigint>")
+    marked = raw.withColumn(REJECTED, listed).withColumn(
+        REJECTED, F.when(F.size(REJECTED) > 0, F.struct(place.alias("row"), F.col(REJECTED).alias("cells")))
+    )
+    return marked.drop(ROW) if name == "calendar" else marked
+
+
+def rejected_cells(raw: DataFrame, name: str) -> DataFrame:
+    """(table_name, path, split, place, column, text): a row per rejected cell."""
+    found = raw.where(F.col(REJECTED).isNotNull()).select(
+        F.col(f"{REJECTED}.row").alias("r"), F.explode(f"{REJECTED}.cells").alias("c")
+    )
+    return found.select(F.lit(name).alias("table_name"), "r.path", "r.split", "r.place", "c.column", "c.text")
+
+
 def type_listings(df: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Known columns parsed to their types; ``also`` names extra columns to carry along."""
     kept, _ = keep_present(df, list(LISTING_COLUMNS))
@@ -207,7 +240,7 @@ def clean_reviews(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
             columns[c] = F.col(c).try_cast("bigint")
     if "comments" in raw.columns:
         columns["comments"] = strip_breaks(F.col("comments"))
-    df = raw.withColumns(columns).dropna(subset=["date"])
+    df = raw.drop(REJECTED).withColumns(columns).dropna(subset=["date"])
     if "id" not in df.columns:
         return df.drop(ROW)
     if ROW in df.columns:

@@ -12,7 +12,7 @@ from nightledger.functions import parsing
 from nightledger.operators import audit, clean, features, incremental, star
 from nightledger.operators.refresh import CalendarStore
 from nightledger.plans import library
-from nightledger.schemas import LISTING_COLUMNS, MEDIAN_FILLED
+from nightledger.schemas import LISTING_COLUMNS, MEDIAN_FILLED, REJECTED
 from nightledger.sources import files, tables
 
 KEY = ["id", "copy"]
@@ -40,7 +40,7 @@ def _digest(c: str):
 
 def s01_read_csv(w) -> DataFrame:
     path = _folder(w, "listings_csv")
-    tables.write_csv(w["raw_listings"], path)
+    tables.write_csv(w["raw_listings"].drop(REJECTED), path)
     raw = files.read_raw_csv(w.spark, path)
     return raw.select(
         F.col("id").cast("bigint").alias("id"),
@@ -116,6 +116,11 @@ def c03_parse_dates(w):
     return _raw(w, *[parsing.parse_date(F.col(c)).alias(c) for c in names])
 
 
+def c03_rejected_cells(w):
+    """Texts that their column's type can't hold."""
+    return w.rejected().groupBy("table_name", "column", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def c04_parse_flags(w):
     names = ["host_is_superhost", "host_identity_verified", "instant_bookable"]
     return _raw(w, *[parsing.parse_flag(F.col(c)).alias(c) for c in names])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,12 @@ class Warehouse:
         sizes = {"listings": self._counts["listings_clean"], "reviews": self._counts["reviews"]}
         return clean.dropped_rows(self.spark, raw, {t: c["rows"] for t, c in sizes.items()})
 
+    def rejected(self) -> DataFrame:
+        """Every cell of the raw files that typing turned into NULL, with its place."""
+        names = ("listings", "calendar", "reviews")
+        parts = [clean.rejected_cells(self[f"raw_{name}"], name) for name in names]
+        return reduce(DataFrame.unionByName, parts)
+
     def star(self) -> "Star":
         return Star(self)
 
@@ -130,19 +137,18 @@ class Warehouse:
         """Over raw CSV files: listings, calendar, reviews; of repeated ids the file's first row stays."""
 
         def read(name: str) -> DataFrame:
-            nights = name == "calendar"
-            return read_raw_csv(spark, paths[name], multiline=not nights, locate=not nights)
+            return read_raw_csv(spark, paths[name], multiline=name != "calendar", locate=True)
 
         return cls(spark, read, as_of, {"listings": [ROW], "reviews": [ROW]}, root)
 
     def _raw_listings(self) -> DataFrame:
-        return self.raw("listings")
+        return clean.with_rejected(self.raw("listings"), "listings")
 
     def _raw_calendar(self) -> DataFrame:
-        return self.raw("calendar")
+        return clean.with_rejected(self.raw("calendar"), "calendar")
 
     def _raw_reviews(self) -> DataFrame:
-        return self.raw("reviews")
+        return clean.with_rejected(self.raw("reviews"), "reviews")
 
     def _listings_typed(self) -> DataFrame:
         extra = [c for c in self.order.get("listings", []) if c not in LISTING_COLUMNS]

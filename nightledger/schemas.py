@@ -13,6 +13,9 @@ RATE = "decimal(5,4)"
 #: Where a raw row stands: file, split and place, sorting as the rows do in the files.
 ROW = "_file_row"
 
+#: Cells of a raw row that say something their column's type can't hold, with the row's place.
+REJECTED = "_rejected"
+
 # Raw columns that are kept, with the type each is read as.
 LISTING_COLUMNS = {
     "id": "bigint",

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightledger.schemas import ROW, TABLES
+from nightledger.functions.parsing import rejected
+from nightledger.schemas import REJECTED, ROW, TABLES
 from nightledger.sources.tables import write_csv
 
 
@@ -40,17 +41,24 @@ def read_raw_csv(
     return located(raw) if locate else raw
 
 
-def load_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One load-ready CSV: empty text is NULL, types by column name."""
-    raw = read_raw_csv(spark, path, multiline=table == "reviews")
-    return raw.select(
-        *[
-            F.nullif(F.col(c), F.lit("")).try_cast(kind).alias(c)
-            if c in raw.columns
-            else F.lit(None).cast(kind).alias(c)
-            for c, kind in TABLES[table].items()
-        ]
-    )
+def load_table(spark: SparkSession, path: str, table: str, trace: bool = False) -> DataFrame:
+    """One load-ready CSV: empty text is NULL, types by column name.
+
+    ``trace`` adds the cells that their type can't hold, with the row's place, to the same rows.
+    """
+    raw = read_raw_csv(spark, path, multiline=table == "reviews", locate=trace)
+    typed = {
+        c: F.nullif(F.col(c), F.lit("")).try_cast(kind) if c in raw.columns else F.lit(None).cast(kind)
+        for c, kind in TABLES[table].items()
+    }
+    columns = [value.alias(c) for c, value in typed.items()]
+    if not trace:
+        return raw.select(*columns)
+    bad = {c: rejected(F.col(c), value) for c, value in typed.items() if c in raw.columns}
+    cells = [F.when(t.isNotNull(), F.struct(F.lit(c).alias("column"), t.alias("text"))) for c, t in bad.items()]
+    listed = F.array_compact(F.array(*cells))
+    held = F.when(F.size(listed) > 0, F.struct(F.col(ROW).alias("row"), listed.alias("cells")))
+    return raw.select(*columns, held.alias(REJECTED))
 
 
 def export_tables(tables: dict[str, DataFrame], folder: str) -> None:

@@ -222,6 +222,25 @@ UNION ALL SELECT 'reviews', 'duplicate id', count(*), count(*) - count(DISTINCT
   FROM raw_reviews WHERE date IS NOT NULL
 """
 
+def _bad(table: str, raw: str, column: str, parsed: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"""SELECT '{table}' AS table_name, '{column}' AS "column", {text} AS text
+      FROM {raw} WHERE trim({text}) NOT IN ('nan', 'None', '<NA>', '') AND {parsed} IS NULL"""
+
+
+def _flag(column: str) -> str:
+    return f"CASE WHEN {column} IN ('t', 'f') THEN 1 END"
+
+
+REJECTED = " UNION ALL ".join(
+    [
+        _bad("listings", "raw_listings", "price", "try_cast(translate(price, '$,', '') AS DOUBLE)"),
+        _bad("listings", "raw_listings", "host_response_rate", "try_cast(replace(host_response_rate, '%', '') AS DOUBLE)"),
+        *[_bad("listings", "raw_listings", c, _flag(c)) for c in ("host_is_superhost", "host_identity_verified", "instant_bookable")],
+        *[_bad("listings", "raw_listings", c, f"try_cast(CAST({c} AS VARCHAR) AS DOUBLE)") for c in ("bedrooms", "beds", "accommodates", "minimum_nights", "reviews_per_month")],
+    ]
+)
+
 SQL = {
     "s01_read_csv": f"SELECT id, {COPY}, price, amenities, bathrooms_text, host_response_rate, "
     "neighbourhood_cleansed, room_type FROM raw_listings",
@@ -249,6 +268,8 @@ SQL = {
     "c02_parse_percent": f"SELECT id, {COPY}, host_response_rate FROM typed_listings",
     "c03_parse_dates": f"SELECT id, {COPY}, host_since, first_review, last_review "
     "FROM typed_listings",
+    "c03_rejected_cells": f"""SELECT table_name, "column", text, CAST(count(*) AS BIGINT) AS n
+      FROM ({REJECTED}) GROUP BY 1, 2, 3""",
     "c04_parse_flags": f"SELECT id, {COPY}, host_is_superhost, host_identity_verified, "
     "instant_bookable FROM typed_listings",
     "c05_bathrooms_from_text": f"SELECT id, {COPY}, bathrooms FROM typed_listings",

@@ -243,3 +243,47 @@ def test_first_listing_and_host_follow_the_file(spark, tmp_path):
 
     flags = {r.host_id: r.is_superhost for r in normalize.hosts(w["listings_clean"]).collect()}
     assert flags == {9: 0, 8: 0}  # listing 7 comes before 3
+
+
+def test_bad_cells_are_kept_with_their_place(spark, tmp_path):
+    from nightledger.plans.warehouse import Warehouse
+    from nightledger.sources.binding import AS_OF
+
+    texts = {
+        "listings": "id,host_id,price,host_since,host_is_superhost,beds\n1,x9,$5.00,soon,t,2\n2,7,free,2020-01-01,maybe,nan\n,,,,,\n",
+        "calendar": "listing_id,date,available,price\n1,2024-13-01,t,$5\n1,2024-01-02,yes,\n1,2024-01-03,f,n/a\n",
+        "reviews": "id,listing_id,date,comments\n1,1,2024-01-01,\"two\nlines\"\nx,1,later,ok\n",
+    }
+    paths = {}
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text(text)
+        paths[name] = str(tmp_path / name)
+    w = Warehouse.of_files(spark, paths, AS_OF, root=str(tmp_path / "out"))
+    rows = w.rejected().collect()
+    assert sorted((r.table_name, r.place, r.column, r.text) for r in rows) == [
+        ("calendar", 0, "date", "2024-13-01"),
+        ("calendar", 1, "available", "yes"),
+        ("calendar", 2, "price", "n/a"),
+        ("listings", 0, "host_id", "x9"),
+        ("listings", 0, "host_since", "soon"),
+        ("listings", 1, "host_is_superhost", "maybe"),
+        ("listings", 1, "price", "free"),
+        ("reviews", 1, "date", "later"),
+        ("reviews", 1, "id", "x"),
+    ]
+    assert all(r.path.endswith("a.csv") and r.split == 0 for r in rows)
+    # only that column is read back
+    plan = w.rejected()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [_rejected") == 3
+    counted = {(r.table_name, r.reason): r.rows_dropped for r in clean.dropped_rows(
+        spark, {t: w._counts[f"raw_{t}"] for t in paths}, {"listings": 1, "reviews": 1}).collect()}
+    assert counted["calendar", "unread date text"] == 1 and counted["reviews", "unread date text"] == 1
+
+
+def test_bad_cells_of_load_files(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("listing_id,host_id,accommodates,first_review_date\n1,2,many,2024-01-01\n2,,3,never\n3,4,5,2024-01-01\n")
+    loaded = files.load_table(spark, str(tmp_path / "l.csv"), "listings", trace=True)
+    got = {r.listing_id: r["_rejected"] and [(c.column, c.text) for c in r["_rejected"].cells] for r in loaded.collect()}
+    assert got == {1: [("accommodates", "many")], 2: [("first_review_date", "never")], 3: None}
+    assert files.load_table(spark, str(tmp_path / "l.csv"), "listings").columns == loaded.columns[:-1]

@@ -13,9 +13,9 @@ def raw_files(w, tmp_path_factory):
     folder = tmp_path_factory.mktemp("raw")
     paths = {name: str(folder / name) for name in ("listings", "calendar", "reviews")}
     # the first copy of each listing is the only one the tables keep
-    tables.write_csv(w["raw_listings"].where("copy = 1").drop("copy"), paths["listings"])
-    tables.write_csv(w["raw_calendar"], paths["calendar"])
-    tables.write_csv(w["raw_reviews"], paths["reviews"])
+    tables.write_csv(w["raw_listings"].where("copy = 1").drop("copy", "_rejected"), paths["listings"])
+    tables.write_csv(w["raw_calendar"].drop("_rejected"), paths["calendar"])
+    tables.write_csv(w["raw_reviews"].drop("_rejected"), paths["reviews"])
     return paths
 
 
@@ -33,6 +33,8 @@ def test_files_give_the_same_tables(spark, w, raw_files, tmp_path):
     assert report[0].value.startswith("# ") and len(report) == 58
     pack = files.read_raw_csv(spark, str(tmp_path / "business_insights"))
     assert pack.count() == 7
+    bad = files.read_raw_csv(spark, str(tmp_path / "rejected"))
+    assert {(r.table_name, r.column, r.text) for r in bad.collect()} == {("listings", "host_response_rate", "N/A")}
 
 
 def test_a_broken_rule_stops_the_load(spark, raw_files, tmp_path):
