@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nightledger.operators.incremental import NIGHT, upsert_nights
 from nightledger.operators.ranking import first_per_key
+from nightledger.operators.refresh import CalendarStore
 
 
 def read_arrivals(
@@ -37,3 +38,24 @@ def load_arrivals(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def deliver_arrivals(
+    arrivals: DataFrame, store: CalendarStore, progress: str, order: str = "arrived"
+) -> StreamingQuery:
+    """Deliver every batch to a store, whose sums follow; a batch that runs twice counts once.
+
+    Batches are known by the name of ``progress`` and their number. Within a batch the newest
+    row of a (listing, date) wins.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        newest = first_per_key(batch, NIGHT, [F.desc(order)]).drop(order)
+        store.deliver(newest, f"{progress}#{batch_id}")
+
+    return (
+        arrivals.writeStream.foreachBatch(load)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )

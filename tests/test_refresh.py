@@ -54,7 +54,7 @@ def test_random_deliveries_equal_a_rebuild(spark, tmp_path, keys):
     rnd, held = random.Random(4), {}
     store = CalendarStore(spark, str(tmp_path), keys, buckets=4)
     start = dt.date(2023, 11, 20)
-    for number in range(4):
+    for number in range(3):
         arriving = {}
         for _ in range(60 if number else 300):
             key = (rnd.randrange(9), start + dt.timedelta(days=rnd.randrange(120)))
@@ -125,3 +125,17 @@ def test_odd_deliveries(spark, tmp_path, keys):
     row = store.monthly().first()
     assert (row.nights_booked, row.booked_revenue) == (1, None)
     assert store.nights().count() == 1
+
+
+def test_stream_of_deliveries(spark, tmp_path, keys):
+    from nightledger.streaming import arrivals
+
+    store = CalendarStore(spark, str(tmp_path / "store"), keys, buckets=2)
+    jan, feb = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    batches = [[(1, jan, 0, "1"), (2, jan, 0, "2")], [(1, jan, 1, "5"), (1, feb, 0, "3")]]
+    for batch in batches:
+        rows = frame(spark, batch)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = arrivals.read_arrivals(spark, str(tmp_path / "in"), rows.schema)
+        arrivals.deliver_arrivals(stream, store, str(tmp_path / "progress")).awaitTermination()
+    check(spark, store, {(1, jan): (1, "5"), (2, jan): (0, "2"), (1, feb): (0, "3")}, keys)
