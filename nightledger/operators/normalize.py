@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.numeric import half_away, half_even
 from nightledger.operators.features import VALUE_MULTIPLIER
 from nightledger.operators.ranking import first_per_key, global_row_numbers
-from nightledger.schemas import ROW, TABLES
+from nightledger.schemas import HOST_NAMES, LISTING_NAMES, ROW, SCORE_NAMES, TABLES
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
@@ -66,18 +66,7 @@ def with_neighbourhood_id(master: DataFrame, dim: DataFrame) -> DataFrame:
 def hosts(master: DataFrame) -> DataFrame:
     """The host columns of each host's first listing of the file, or of its lowest listing id
     where the file's order isn't known (N03)."""
-    names = {
-        "host_id": "host_id",
-        "host_since": "host_since",
-        "host_is_superhost": "is_superhost",
-        "host_response_rate": "response_rate_pct",
-        "host_response_time": "response_time",
-        "host_identity_verified": "identity_verified",
-        "host_total_listings_count": "total_listings_count",
-        "host_experience_years": "experience_years",
-        "host_experience_tier": "experience_tier",
-    }
-    narrow = _project(master, {**names, _file_order(master): "_listing"})
+    narrow = _project(master, {**HOST_NAMES, _file_order(master): "_listing"})
     first = first_per_key(narrow, ["host_id"], [F.col("_listing").asc()])
     flags = {c: _flag(F.col(c)) for c in ("is_superhost", "identity_verified") if c in first.columns}
     return _typed(first.withColumns(flags), "hosts")
@@ -85,27 +74,7 @@ def hosts(master: DataFrame) -> DataFrame:
 
 def listings(master: DataFrame, dim: DataFrame) -> DataFrame:
     """N04."""
-    names = {
-        "id": "listing_id",
-        "host_id": "host_id",
-        "neighbourhood_id": "neighbourhood_id",
-        "property_type": "property_type",
-        "room_type": "room_type",
-        "accommodates": "accommodates",
-        "bedrooms": "bedrooms",
-        "beds": "beds",
-        "bathrooms": "bathrooms",
-        "amenity_count": "amenity_count",
-        "price": "base_price",
-        "price_category": "price_category",
-        "minimum_nights": "minimum_nights",
-        "maximum_nights": "maximum_nights",
-        "instant_bookable": "instant_bookable",
-        "first_review": "first_review_date",
-        "last_review": "last_review_date",
-        "is_stale_listing": "is_stale_listing",
-    }
-    df = _project(with_neighbourhood_id(master, dim), names)
+    df = _project(with_neighbourhood_id(master, dim), LISTING_NAMES)
     flags = {c: _flag(F.col(c)) for c in ("instant_bookable", "is_stale_listing") if c in df.columns}
     return _typed(df.withColumns(flags), "listings")
 
@@ -146,17 +115,7 @@ def reviews(clean: DataFrame) -> DataFrame:
 
 def review_scores(master: DataFrame, rating_scale: float = 20) -> DataFrame:
     """Scores on a 0-5 scale; ``rating_scale`` divides the overall rating."""
-    names = {
-        "id": "listing_id",
-        "review_scores_rating": "rating",
-        "review_scores_cleanliness": "cleanliness",
-        "review_scores_checkin": "checkin",
-        "review_scores_communication": "communication",
-        "review_scores_location": "location_score",
-        "review_scores_value": "value_score",
-        "review_score_composite": "composite_score",
-    }
-    df = _project(master, names)
+    df = _project(master, SCORE_NAMES)
     if "rating" in df.columns:
         df = df.withColumn("rating", half_even(F.col("rating") / F.lit(float(rating_scale))))
     return _typed(df, "review_scores")

@@ -188,3 +188,50 @@ TABLES = {
         "composite_score": "decimal(3,2)",
     },
 }
+
+# Master columns of the hosts table, with their names there.
+HOST_NAMES = {
+    "host_id": "host_id",
+    "host_since": "host_since",
+    "host_is_superhost": "is_superhost",
+    "host_response_rate": "response_rate_pct",
+    "host_response_time": "response_time",
+    "host_identity_verified": "identity_verified",
+    "host_total_listings_count": "total_listings_count",
+    "host_experience_years": "experience_years",
+    "host_experience_tier": "experience_tier",
+}
+
+# Master columns of the listings table, with their names there.
+LISTING_NAMES = {
+    "id": "listing_id",
+    "host_id": "host_id",
+    "neighbourhood_id": "neighbourhood_id",
+    "property_type": "property_type",
+    "room_type": "room_type",
+    "accommodates": "accommodates",
+    "bedrooms": "bedrooms",
+    "beds": "beds",
+    "bathrooms": "bathrooms",
+    "amenity_count": "amenity_count",
+    "price": "base_price",
+    "price_category": "price_category",
+    "minimum_nights": "minimum_nights",
+    "maximum_nights": "maximum_nights",
+    "instant_bookable": "instant_bookable",
+    "first_review": "first_review_date",
+    "last_review": "last_review_date",
+    "is_stale_listing": "is_stale_listing",
+}
+
+# Master columns of the scores table, with their names there.
+SCORE_NAMES = {
+    "id": "listing_id",
+    "review_scores_rating": "rating",
+    "review_scores_cleanliness": "cleanliness",
+    "review_scores_checkin": "checkin",
+    "review_scores_communication": "communication",
+    "review_scores_location": "location_score",
+    "review_scores_value": "value_score",
+    "review_score_composite": "composite_score",
+}
