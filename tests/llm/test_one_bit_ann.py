@@ -67,6 +67,41 @@ def test_odd_vectors(spark):
     assert found(frame.where("vec_id = 1"), every=50) == []
 
 
+def by_sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    return sorted(con.execute(A.ORACLE_SQL).fetchall())
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1.0]), (2, [1e200, 0.0]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0])]
+    rows += [(50, [0.0, 1.7e308]), (51, [0.0, -5e-324]), (52, [1.7e308, 1.7e308])]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50)
+    assert got == by_sql(rows)
+    assert [(r, i, s) for q, r, i, s in got if q == 0][:4] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+    assert [(r, i) for q, r, i, _ in got if q == 50][:1] == [(1, 52)]
+
+
+def test_lengths_are_searched_for_themselves(spark, monkeypatch):
+    rows = [(i, v.astype(float).tolist()) for i, v in enumerate(vectors(60, 8))]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 2.0]), (102, [-1.0, 0.0, 1.0]), (150, [4.0]), (151, [-2.0]), (200, [3.0, 4.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = found(frame, every=50)
+    assert got == by_sql(rows)
+    assert [r[:3] for r in got if r[0] >= 100] == [(100, 1, 101), (100, 2, 102), (150, 1, 151)]
+    # long vectors are turned in parts, and blocks of few components are searched one by one
+    monkeypatch.setattr(A, "TURNED", 3)
+    monkeypatch.setattr(A, "NUMBERS", 10)
+    assert found(frame, every=50) == got
+
+
+def test_turning_in_parts_keeps_lengths_and_angles(monkeypatch):
+    x = vectors(20, 50).astype(float)
+    monkeypatch.setattr(A, "TURNED", 16)
+    assert np.allclose(A.turn(x) @ A.turn(x).T, x @ x.T)
+
+
 def test_blocks_of_queries(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(vectors(300, 16))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
