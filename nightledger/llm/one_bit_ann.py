@@ -43,6 +43,7 @@ QUERIES = 2048
 #: Components of the queries of a block.
 NUMBERS = 1 << 23
 CHUNK = 1024
+PAIRS = 4096
 #: Components that are turned together at most.
 TURNED = 2048
 
@@ -94,6 +95,17 @@ def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def _pair_dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Row i of x with row j of y, added in the order of coordinates; a coordinate and ``PAIRS`` fit a cache."""
+    xt, yt = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    total = np.zeros(len(i))
+    for lo in range(0, len(i), PAIRS):
+        own = slice(lo, lo + PAIRS)
+        for a, b in zip(xt, yt, strict=True):
+            total[own] += a[i[own]] * b[j[own]]
+    return total
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, vector) that take part."""
     vector = F.col("embedding").cast("array<double>")
@@ -150,7 +162,7 @@ class Block:
         estimate[v_ids[:, None] == self.ids] = -np.inf
 
         def exact(i, j):
-            return _dots(self.q[j], x[i]) / (self.norm[j] * x_norm[i])
+            return _pair_dots(self.q, j, x, i) / (self.norm[j] * x_norm[i])
 
         best = min(2 * k, len(batch))
         first = np.argpartition(-estimate, best - 1, axis=0)[:best].T
