@@ -33,7 +33,7 @@ def run(
     """Nothing is exported when a rule is broken that is not in ``allowed``; ``model`` also
     trains, scores and saves the price model."""
     w = Warehouse.of_files(spark, paths, as_of, root=os.path.join(out, "stages"))
-    report = audit.gate_report(w.tables(), library.q16_month_coverage(w), w.counts())
+    report = audit.gate_report(w.audited(), library.q16_month_coverage(w), w.counts())
     audit.enforce(report, set(allowed))
     files.export_tables(w.tables(), os.path.join(out, "load"))
     tables.write_csv(w.rejected(), os.path.join(out, "rejected"))

@@ -84,7 +84,7 @@ REQUIRED = {
 #: Stages whose write also counts the rows of a table that is a projection of them.
 PROJECTED = {
     "calendar_clean": ("calendar_daily", {"calendar_date": "date", "is_available": "available"}),
-    "reviews_clean": ("reviews", {"review_date": "date"}),
+    "reviews_kept": ("reviews", {"review_date": "date"}),
 }
 BOOKED = {"booked_nights <= total_nights_tracked": "booked_nights > total_nights_tracked"}
 #: What the writes counted: by table the number of rows ("rows") and of violations by rule.

@@ -11,7 +11,7 @@ from nightledger.operators.ranking import first_per_key, global_row_numbers
 from nightledger.schemas import HOST_NAMES, LISTING_NAMES, ROW, SCORE_NAMES, TABLES
 
 
-def _typed(df: DataFrame, table: str) -> DataFrame:
+def _typed(df: DataFrame, table: str, also: list[str] | None = None) -> DataFrame:
     """Cast to the table's types; a value outside a type's range becomes NULL."""
 
     def cast(name: str, kind: str) -> Column:
@@ -20,7 +20,8 @@ def _typed(df: DataFrame, table: str) -> DataFrame:
             c = half_away(c, int(kind.rstrip(")").split(",")[1]))
         return c.try_cast(kind).alias(name)
 
-    return df.select(*[cast(c, kind) for c, kind in TABLES[table].items() if c in df.columns])
+    extra = [c for c in also or [] if c not in TABLES[table]]
+    return df.select(*[cast(c, kind) for c, kind in TABLES[table].items() if c in df.columns], *extra)
 
 
 def _project(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -107,10 +108,10 @@ def calendar_daily(calendar: DataFrame) -> DataFrame:
     return _typed(df, "calendar_daily")
 
 
-def reviews(clean: DataFrame) -> DataFrame:
-    """N08."""
+def reviews(clean: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """N08; ``also`` names extra columns to carry along."""
     renamed = clean.withColumnsRenamed({"id": "review_id", "date": "review_date"})
-    return _typed(renamed, "reviews")
+    return _typed(renamed, "reviews", also)
 
 
 def review_scores(master: DataFrame, rating_scale: float = 20) -> DataFrame:

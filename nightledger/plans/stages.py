@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightledger.functions import parsing
-from nightledger.operators import audit, clean, features, incremental, star
+from nightledger.operators import audit, clean, features, incremental, normalize, star
 from nightledger.operators.refresh import CalendarStore
 from nightledger.plans import library
-from nightledger.schemas import LISTING_COLUMNS, MEDIAN_FILLED, REJECTED
+from nightledger.schemas import LISTING_COLUMNS, MEDIAN_FILLED, REJECTED, TEXT
 from nightledger.sources import files, tables
 
 KEY = ["id", "copy"]
@@ -30,9 +30,11 @@ def _folder(w, name: str) -> str:
     return os.path.join(w.root, f"{name}-{uuid.uuid4().hex}")
 
 
-def _digest(c: str):
-    """Whole texts are compared by digest and length."""
-    return [F.md5(F.encode(c, "UTF-8")).alias(f"{c}_md5"), F.length(c).alias(f"{c}_length")]
+def _digested(w, reviews: DataFrame) -> DataFrame:
+    """Whole texts are compared by digest and length; of a text that reviews share both are found once."""
+    text = parsing.strip_breaks(F.col("comments")) if TEXT in reviews.columns else F.col("comments")
+    found = w.quoted(reviews, comments_md5=F.md5(F.encode(text, "UTF-8")), comments_length=F.length(text))
+    return found.drop("comments")
 
 
 # -- sources and sinks --------------------------------------------------------------
@@ -90,7 +92,7 @@ def s06_load_csv(w) -> DataFrame:
 
 
 def s07_load_counts(w) -> DataFrame:
-    return audit.row_counts(w.tables(), w.counts())
+    return audit.row_counts(w.audited(), w.counts())
 
 
 def s08_read_table(w) -> DataFrame:
@@ -179,11 +181,9 @@ def c14_fill_night_price(w):
 
 
 def c15_strip_breaks(w):
-    cleaned = w["raw_reviews"].select(
-        F.col("id").cast("bigint").alias("id"),
-        parsing.strip_breaks(F.col("comments")).alias("comments"),
-    )
-    return cleaned.select("id", *_digest("comments"))
+    rows, key = w["review_rows"], F.col("id").cast("bigint").alias("id")
+    text = TEXT if TEXT in rows.columns else parsing.strip_breaks(F.col("comments")).alias("comments")
+    return _digested(w, rows.select(key, text))
 
 
 def c16_dropped_rows(w):
@@ -199,9 +199,8 @@ def c18_clean_calendar(w):
 
 
 def c19_clean_reviews(w):
-    r = w["reviews_clean"]
-    return r.select(
-        "id", "listing_id", "reviewer_id", "reviewer_name", "date", *_digest("comments")
+    return _digested(w, w["reviews_kept"]).select(
+        "id", "listing_id", "reviewer_id", "reviewer_name", "date", "comments_md5", "comments_length"
     )
 
 
@@ -341,10 +340,11 @@ def n07_calendar_daily(w):
 
 
 def n08_reviews(w):
-    r = w["reviews"]
-    return r.select(
-        "review_id", "listing_id", "reviewer_id", "reviewer_name", "review_date",
-        *_digest("comments"),
+    kept = w["reviews_kept"]
+    text = [c for c in (TEXT, "comments") if c in kept.columns]
+    rows = normalize.reviews(kept, also=text)
+    return _digested(w, rows).select(
+        "review_id", "listing_id", "reviewer_id", "reviewer_name", "review_date", "comments_md5", "comments_length"
     )
 
 
@@ -356,7 +356,7 @@ def n09_review_scores(w):
 
 
 def k01_value_ranges(w):
-    return audit.range_audit(w.tables(), w.counts())
+    return audit.range_audit(w.audited(), w.counts())
 
 
 def k02_booked_within_tracked(w):
@@ -364,15 +364,15 @@ def k02_booked_within_tracked(w):
 
 
 def k03_uniqueness(w):
-    return audit.uniqueness_audit(w.tables())
+    return audit.uniqueness_audit(w.audited())
 
 
 def k04_references(w):
-    return audit.reference_audit(w.tables())
+    return audit.reference_audit(w.audited())
 
 
 def k05_not_null(w):
-    return audit.not_null_audit(w.tables(), w.counts())
+    return audit.not_null_audit(w.audited(), w.counts())
 
 
 # -- star ---------------------------------------------------------------------------
@@ -454,7 +454,7 @@ def x01_refreshed_fact(w) -> DataFrame:
 
 
 def x02_quality_gate(w):
-    return audit.gate_report(w.tables(), library.q16_month_coverage(w), w.counts())
+    return audit.gate_report(w.audited(), library.q16_month_coverage(w), w.counts())
 
 
 def x03_combine_snapshots(w):

@@ -11,11 +11,12 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators import audit, clean, features, normalize, star
-from nightledger.schemas import LISTING_COLUMNS, ROW, TABLES, with_provenance
+from nightledger.functions.parsing import strip_breaks
+from nightledger.schemas import LISTING_COLUMNS, ROW, TABLES, TEXT, with_provenance
 from nightledger.session import shared_dir
 from nightledger.sources import binding
 from nightledger.sources.files import located, read_raw_csv
@@ -36,7 +37,11 @@ STAR = {
 
 class Warehouse:
     """``raw`` gives the raw listings, calendar and reviews by name; ``order`` names the
-    columns that state the file order of listings and reviews, where there are any."""
+    columns that state the file order of listings and reviews, where there are any.
+
+    Raw reviews have ``comments``, or the number (TEXT) of a text in ``raw("texts")``. Such
+    texts are joined when they are read and never written with the reviews, which may quote
+    each of them any number of times."""
 
     def __init__(
         self,
@@ -59,7 +64,10 @@ class Warehouse:
     UNWRITTEN = {
         "calendar_daily",
         "monthly_agg",
+        "raw_reviews",
+        "reviews_clean",
         "reviews",
+        "review_keys",
         "dim_neighbourhood",
         "dim_host",
         "dim_listing",
@@ -82,12 +90,23 @@ class Warehouse:
         """The eight normalised tables."""
         return {t: self[t] for t in TABLES}
 
+    def audited(self) -> dict[str, DataFrame]:
+        """The eight tables for audits, which don't look at the texts of reviews."""
+        return {t: self["review_keys" if t == "reviews" else t] for t in TABLES}
+
+    def quoted(self, reviews: DataFrame, **columns: Column) -> DataFrame:
+        """Reviews with columns made of ``comments``, once for each text where they share texts."""
+        if TEXT not in reviews.columns:
+            return reviews.withColumns(columns)
+        texts = self["texts"].select(TEXT, *[c.alias(name) for name, c in columns.items()])
+        return reviews.join(texts, TEXT, "left").drop(TEXT)
+
     def _watched(self, name: str, df: DataFrame):
-        if name.startswith("raw_"):
-            raw = name.removeprefix("raw_")
+        if name.startswith("raw_") or name == "review_rows":
+            raw = "reviews" if name == "review_rows" else name.removeprefix("raw_")
             needed = {"listings": {"price"}, "calendar": {"date", "available"}, "reviews": {"date"}}
             fits = needed[raw] <= set(df.columns)
-            return name, clean.dropped_counts(raw, df) if fits else {}
+            return f"raw_{raw}", clean.dropped_counts(raw, df) if fits else {}
         if name == "listings_clean":
             return name, {"rows": F.count(F.lit(1))}
         return audit.watched(name)
@@ -128,7 +147,13 @@ class Warehouse:
     def of_tables(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
         """Over the given star-schema tables, shaped into raw files first."""
         order = {"listings": ["copy"], "reviews": ["date"]}
-        return cls(spark, lambda name: binding.RAW[name](spark, sf_dir), binding.AS_OF, order)
+
+        def raw(name: str) -> DataFrame:
+            more = [w["texts"]] if name == "reviews" else []
+            return binding.RAW[name](spark, sf_dir, *more)
+
+        w = cls(spark, raw, binding.AS_OF, order)
+        return w
 
     @classmethod
     def of_files(
@@ -147,9 +172,16 @@ class Warehouse:
     def _raw_calendar(self) -> DataFrame:
         return clean.with_rejected(self.raw("calendar"), "calendar")
 
-    def _raw_reviews(self) -> DataFrame:
+    def _texts(self) -> DataFrame:
+        return self.raw("texts")
+
+    def _review_rows(self) -> DataFrame:
         return clean.with_rejected(self.raw("reviews"), "reviews")
 
+    def _raw_reviews(self) -> DataFrame:
+        rows = self["review_rows"]
+        return self.quoted(rows, comments=F.col("comments")) if TEXT in rows.columns else rows
+
     def _listings_typed(self) -> DataFrame:
         extra = [c for c in self.order.get("listings", []) if c not in LISTING_COLUMNS]
         return clean.type_listings(self["raw_listings"], also=extra)
@@ -167,12 +199,16 @@ class Warehouse:
         nights = clean.clean_typed_calendar(self["calendar_typed"])
         return nights.withColumn("year_month", F.date_format("date", "yyyy-MM"))
 
-    def _reviews_clean(self) -> DataFrame:
-        raw = self["raw_reviews"]
+    def _reviews_kept(self) -> DataFrame:
+        raw = self["review_rows"]
         # without a place in the files, the place in the written stage breaks ties
         placed = raw if ROW in raw.columns else located(raw)
         return clean.clean_reviews(placed, self.order.get("reviews"))
 
+    def _reviews_clean(self) -> DataFrame:
+        kept = self["reviews_kept"]
+        return self.quoted(kept, comments=strip_breaks(F.col("comments"))) if TEXT in kept.columns else kept
+
     def _monthly(self) -> DataFrame:
         return features.monthly_sums(self["calendar_clean"])
 
@@ -209,6 +245,9 @@ class Warehouse:
     def _reviews(self) -> DataFrame:
         return normalize.reviews(self["reviews_clean"])
 
+    def _review_keys(self) -> DataFrame:
+        return normalize.reviews(self["reviews_kept"].drop("comments"))
+
     def _review_scores(self) -> DataFrame:
         return normalize.review_scores(self["master"])
 
@@ -251,7 +290,7 @@ class Warehouse:
         return star.fact_calendar_monthly(self["monthly"], self["listings"])
 
     def _fact_reviews(self) -> DataFrame:
-        return star.fact_reviews(self["reviews"], self["listings"])
+        return star.fact_reviews(self["review_keys"], self["listings"])
 
     def _fact_review_scores(self) -> DataFrame:
         return star.fact_review_scores(self["review_scores"], self["listings"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightledger.schemas import TEXT
+
 # Labels and the day all ages are counted to.
 AS_OF = "2002-01-01"
 ROOM_TYPES = ["Entire home/apt", "Private room", "Shared room", "Hotel room"]
@@ -24,12 +26,26 @@ def _base_price() -> F.Column:
     return (cents / 100).cast("decimal(10,2)")
 
 
-def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, comments, TEXT): the texts that reviews quote, numbered by row.
+
+    Give the result a written form before rows are joined with it: the numbers are fixed then.
+    """
+    return given(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.replace("text", F.lit("\n"), F.lit("<br/>")).alias("comments"),
+        F.monotonically_increasing_id().alias(TEXT),
+    )
+
+
+def raw_reviews(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
+    """Reviews with the number of their text in ``texts`` (by default, of the given documents);
+    a text is quoted many times, so it isn't copied to each."""
     lines = given(spark, sf_dir, "lineitem")
     first_line = lines.groupBy("l_orderkey").agg(
         F.min(F.struct("l_shipdate", "l_partkey")).alias("m")
     )
-    documents = given(spark, sf_dir, "documents")
+    documents = (raw_texts(spark, sf_dir) if texts is None else texts).select("doc_id", TEXT)
     size = documents.agg(F.count(F.lit(1)).alias("n_docs"))
     orders = (
         given(spark, sf_dir, "orders")
@@ -43,7 +59,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("reviewer_id"),
         F.col("c_name").alias("reviewer_name"),
         F.col("o_orderdate").cast("date").cast("string").alias("date"),
-        F.replace("text", F.lit("\n"), F.lit("<br/>")).alias("comments"),
+        TEXT,
     )
 
 
@@ -184,4 +200,4 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.select("*", F.explode(copies).alias("copy"))
 
 
-RAW = {"listings": raw_listings, "calendar": raw_calendar, "reviews": raw_reviews}
+RAW = {"listings": raw_listings, "calendar": raw_calendar, "reviews": raw_reviews, "texts": raw_texts}
