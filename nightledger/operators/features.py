@@ -22,10 +22,21 @@ VALUE_MULTIPLIER = 250
 
 
 
+def dealt_by(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` before they are summed, for groups of few rows each.
+
+    Most listings have a night or two in a month, so sums made before the shuffle are as many
+    as the nights and several times as wide. The number of partitions is the session's: left
+    to coalesce narrow rows by their bytes, Spark would give a task more groups than it can hold.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def monthly_sums(cal: DataFrame) -> DataFrame:
     """One row per listing and month with additive columns; every KPI rolls up from it."""
     booked, month = ~F.col("available"), F.date_format("date", "yyyy-MM")
-    return cal.groupBy(F.col("listing_id").alias("id"), month.alias("year_month")).agg(
+    nights = dealt_by(cal.select("listing_id", "date", "available", "price"), "listing_id")
+    return nights.groupBy(F.col("listing_id").alias("id"), month.alias("year_month")).agg(
         F.count("date").alias("nights_tracked"),
         F.count_if(booked).alias("nights_booked"),
         F.sum(F.when(booked, F.col("price"))).alias("booked_revenue"),

@@ -30,9 +30,11 @@ EDGES = ["first_night", "last_night"]
 PARTITION = {"nights": "year_month", "monthly": "year_month", "totals": "bucket", "fact_monthly": "year_month"}
 
 
-def signed_sums(arriving: DataFrame, replaced: DataFrame) -> DataFrame:
+def signed_sums(arriving: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
     """One delta per listing and month: what arrives counts plus, what it replaces minus."""
-    both = arriving.withColumn("sign", F.lit(1)).unionByName(replaced.withColumn("sign", F.lit(-1)))
+    both = arriving.withColumn("sign", F.lit(1))
+    if replaced is not None:
+        both = both.unionByName(replaced.withColumn("sign", F.lit(-1)))
     booked, priced = F.col("is_available") == 0, F.col("price").isNotNull()
 
     def count(condition: Column) -> Column:
@@ -44,7 +46,7 @@ def signed_sums(arriving: DataFrame, replaced: DataFrame) -> DataFrame:
 
     # dates never go, so only arriving ones can move the first and last night
     arrives = F.when(F.col("sign") > 0, F.col("calendar_date"))
-    return both.groupBy("listing_id", "year_month").agg(
+    return features.dealt_by(both, "listing_id").groupBy("listing_id", "year_month").agg(
         count(F.lit(True)).alias("nights_tracked"),
         count(booked).alias("nights_booked"),
         count(booked & priced).alias("booked_priced"),
@@ -70,6 +72,11 @@ def _known(amount: str, count: str) -> Column:
     return F.when(F.col(count) > 0, F.col(amount)).alias(amount)
 
 
+def _held(state: list, table: str, parts: list[str] | None = None) -> list:
+    """The rows of a state that say where a table's partitions lie."""
+    return [r for r in state if r["part_of"] == table and (parts is None or r["part"] in set(parts))]
+
+
 class CalendarStore:
     """``listings`` has the keys that the star fact carries; ``buckets`` divides the listings
     and stays the same for the life of a store."""
@@ -96,13 +103,22 @@ class CalendarStore:
         keyed.withColumn("year_month", month).write.mode("overwrite").parquet(beside)
         new = self.spark.read.parquet(beside)
         months = [r.year_month for r in new.select("year_month").distinct().collect()]
-        old = self._read("nights", new.schema, state, months)
-        replaced = old.join(new.select(*NIGHT), NIGHT, "left_semi")
-        delta = signed_sums(new, replaced).checkpoint()
-        kept = old.join(new.select(*NIGHT), NIGHT, "left_anti")
-        written = self._write("nights", kept.unionByName(new.select(*kept.columns)), number)
-
-        monthly = merged(self._read("monthly", delta.schema, state, months), delta, ["listing_id", "year_month"])
+        # months that are new have nothing to replace, keep or add to
+        known = [m for m in months if _held(state, "nights", [m])]
+        nights = new
+        if known:
+            old = self._read("nights", new.schema, state, known)
+            again = new.where(F.col("year_month").isin(known)).select(*NIGHT)
+            delta = signed_sums(new, old.join(again, NIGHT, "left_semi")).checkpoint()
+            kept = old.join(again, NIGHT, "left_anti")
+            nights = kept.unionByName(new.select(*kept.columns))
+        else:
+            delta = signed_sums(new).checkpoint()
+        written = self._write("nights", nights, number)
+
+        monthly = delta
+        if known:
+            monthly = merged(self._read("monthly", delta.schema, state, known), delta, ["listing_id", "year_month"])
         written += self._write("monthly", monthly, number)
         touched = self._read("monthly", delta.schema, written, months)
         written += self._write("fact_monthly", star.fact_calendar_monthly(self._shaped(touched), self.keys).withColumnRenamed("YearMonth", "year_month"), number)
@@ -187,7 +203,7 @@ class CalendarStore:
 
     def _read(self, table: str, schema, state: list, parts: list[str] | None = None) -> DataFrame:
         by = PARTITION[table]
-        rows = [r for r in state if r["part_of"] == table and (parts is None or r["part"] in set(parts))]
+        rows = _held(state, table, parts)
         if not rows:
             return self.spark.createDataFrame([], schema)
         paths = [f"{self.path}/{table}/number={r['number']}/{by}={r['part']}" for r in rows]

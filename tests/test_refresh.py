@@ -139,3 +139,35 @@ def test_stream_of_deliveries(spark, tmp_path, keys):
         stream = arrivals.read_arrivals(spark, str(tmp_path / "in"), rows.schema)
         arrivals.deliver_arrivals(stream, store, str(tmp_path / "progress")).awaitTermination()
     check(spark, store, {(1, jan): (1, "5"), (2, jan): (0, "2"), (1, feb): (0, "3")}, keys)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_nights_are_shuffled_as_they_are_and_not_as_sums(spark, tmp_path):
+    rows = [(i % 5, dt.date(2024, 1, 1) + dt.timedelta(days=i), i % 2, "1.00") for i in range(100)]
+    nights = frame(spark, rows)
+    cal = nights.select("listing_id", F.col("calendar_date").alias("date"), (F.col("is_available") == 1).alias("available"), "price")
+    sums = features.monthly_sums(cal)
+    month = nights.withColumn("year_month", F.date_format("calendar_date", "yyyy-MM"))
+    delta = refresh.signed_sums(month)
+    for df in (sums, delta):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(listing_id") == shuffles(df) == 1
+        assert plan.index("HashAggregate") < plan.index("Exchange")  # none below it
+        assert "HashAggregate" not in plan[plan.index("Exchange"):].split("== Initial")[0]
+
+
+def test_a_first_delivery_merges_nothing(spark, tmp_path, keys, monkeypatch):
+    merges = []
+    plain = refresh.merged
+    monkeypatch.setattr(refresh, "merged", lambda stored, delta, by: merges.append(by) or plain(stored, delta, by))
+    store = CalendarStore(spark, str(tmp_path), keys, buckets=4)
+    rows = [(1, dt.date(2024, 1, d), d % 2, "10.00") for d in range(1, 9)]
+    assert store.deliver(frame(spark, rows), "a") and ["listing_id", "year_month"] not in merges
+    # a known month and a new one
+    more = [(1, dt.date(2024, 1, 3), 0, "12.00"), (2, dt.date(2024, 2, 1), 0, "7.00")]
+    assert store.deliver(frame(spark, more), "b") and ["listing_id", "year_month"] in merges
+    held = {(k, d): (a, p) for k, d, a, p in [*rows, *more]}
+    check(spark, store, held, keys)
