@@ -44,5 +44,5 @@ def test_odd_rows_pass_all_stages(spark):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.queries()
     assert set(registry.oracle_sql()) <= set(registry.queries())
