@@ -35,7 +35,7 @@ BLOCKS = 16
 RADIUS = 63
 ITEMS = 4096
 #: Shingles whose bit sums are held at once.
-SPAN = 4096
+SPAN = 2048
 
 MATCH = "array<struct<item_id: bigint, similarity: double, first_word: int, words: int>>"
 

@@ -1,5 +1,8 @@
 """The pipeline's stages, one after the other, each against a plain version of its rule."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from nightledger.llm import decontaminate, registry
 from nightledger.llm.storage import stage
@@ -42,6 +45,28 @@ def test_odd_rows_pass_all_stages(spark):
         assert sorted(rows.columns) == sorted(docs.columns)
 
 
+def test_batches_of_texts_are_bounded(spark):
+    step = corpus_pipeline.bounded(lambda spark, docs, _: docs)
+    docs = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("text "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    @F.arrow_udf("long")
+    def size(column: pa.Array) -> pa.Array:
+        return pa.array([column.nbytes] * len(column))
+
+    held = spark.conf.get(corpus_pipeline.BATCHES)
+    try:
+        docs = step(spark, docs, "")
+        found = {r.n for r in docs.mapInArrow(sizes, "n long").collect()}
+        found |= {r.n for r in docs.select(size("text").alias("n")).collect()}
+    finally:
+        spark.conf.set(corpus_pipeline.BATCHES, held)
+    assert max(found) < 2 * corpus_pipeline.BATCH_BYTES
+
+
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op"))
     assert numbers == list(range(1, 14)) and "pipeline" in registry.queries()
