@@ -36,6 +36,9 @@ def _row_order(df: DataFrame, order: list[str] | None) -> list[Column]:
     return [F.col(c).asc() for c in (order or df.columns)]
 
 
+#: Ids of listings that are broadcast at most, about 16 MB.
+BROADCAST_IDS = 1_000_000
+
 # How the other raw columns are read.
 CALENDAR_TYPES = {"listing_id": "bigint", "date": "date", "available": "flag", "price": "price", "adjusted_price": "price"}
 REVIEW_TYPES = {"id": "bigint", "listing_id": "bigint", "reviewer_id": "bigint", "date": "date"}
@@ -193,13 +196,15 @@ def fill_listing_median(cal: DataFrame) -> DataFrame:
     """Missing night prices take the listing's own median, then 0 (C14).
 
     Only the unpriced nights are joined with medians; priced nights, the bulk, are passed on
-    as they are. Medians are computed only for listings that have a gap: while the list of
-    these is small, Spark broadcasts it; beyond, (listing, price) of the priced nights is
-    shuffled once for it.
+    as they are. Medians are computed only for listings that have a gap. These are counted
+    first and broadcast up to ``BROADCAST_IDS``; Spark's own estimate comes from the size of
+    all nights, and it would shuffle (listing, price) of every priced night before it knew better.
     """
     priced = cal.where(F.col("price").isNotNull())
     gaps = cal.where(F.col("price").isNull())
     gappy = gaps.select("listing_id").distinct()
+    if gappy.count() <= BROADCAST_IDS:
+        gappy = F.broadcast(gappy)
     medians = exact_quantiles(
         priced.join(gappy, "listing_id", "left_semi"), "price", {"_median": 0.5}, by=["listing_id"]
     )

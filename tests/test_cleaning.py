@@ -287,3 +287,26 @@ def test_bad_cells_of_load_files(spark, tmp_path):
     got = {r.listing_id: r["_rejected"] and [(c.column, c.text) for c in r["_rejected"].cells] for r in loaded.collect()}
     assert got == {1: [("accommodates", "many")], 2: [("first_review_date", "never")], 3: None}
     assert files.load_table(spark, str(tmp_path / "l.csv"), "listings").columns == loaded.columns[:-1]
+
+
+def test_priced_nights_are_not_shuffled_to_find_gaps(frame, spark, monkeypatch):
+    rows = [(i, "2001-01-01", "t", "5.00") for i in range(40)] + [(3, "2001-01-02", "t", None), (3, "2001-01-03", "f", "8.00")]
+    rows += [(99, "2001-01-02", "t", None), (None, "2001-01-02", "t", None)]
+    nights = frame(rows, "listing_id bigint, date string, available string, price string")
+    nights = nights.withColumn("price", F.col("price").cast(clean.MONEY))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = {}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for most in (clean.BROADCAST_IDS, 0):
+            monkeypatch.setattr(clean, "BROADCAST_IDS", most)
+            filled = clean.fill_listing_median(nights)
+            plan = filled._jdf.queryExecution().executedPlan().toString()
+            semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+            priced = sorted((str(r.listing_id), r.date, float(r.price)) for r in filled.collect())
+            found[most] = bool(semi) and all("BroadcastHashJoin" in line for line in semi), priced
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    (by_broadcast, rows), (by_shuffle, same) = found.values()
+    assert by_broadcast and not by_shuffle and rows == same
+    assert ("3", "2001-01-02", 6.5) in rows and ("99", "2001-01-02", 0.0) in rows and len(rows) == 44
