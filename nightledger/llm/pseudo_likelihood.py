@@ -7,10 +7,13 @@ over the whole corpus. The class comes from a window network: embeddings of the
 neighbours' classes, a hidden layer, a softmax. A document's score is the sum of the log
 probabilities of all its words.
 
-Training: one pass over the corpus counts the words and writes each word's bucket. In each of
-``ROUNDS`` rounds every task trains the current network with numpy on the windows around all
-its words, ``BATCH`` at a time; the results are averaged, weighted by windows, in a shuffle.
-The driver holds one network and the bucket counts, whose sizes don't depend on the corpus.
+Training: one pass over the corpus counts the words and writes each word's bucket; the next deals
+the windows around all words by their neighbours' classes and counts equal ones, which are few
+kinds among many windows. In each of ``ROUNDS`` rounds every task trains the current network with
+numpy on all its windows: windows with the same neighbours share one forward and backward step, up
+to ``SHARED`` of them, each at its full weight, and ``BATCH`` such steps are taken at a time. The
+results are averaged, weighted by windows, in a shuffle. The driver holds one network and the
+bucket counts, whose sizes don't depend on the corpus.
 ``SAMPLE`` above 1 trains on one in so many windows instead, for trials.
 
 Defined cases: null and empty texts and texts without a word have 0 words, a sum of 0 and a
@@ -39,6 +42,12 @@ HIDDEN = 24
 SAMPLE = 1
 ROUNDS = 3
 BATCH = 256
+#: Windows with the same neighbours that are taken as one at most; more are split evenly.
+SHARED = 8
+#: Windows that a task merges, windows sorted at once, and distinct windows trained on at once.
+TASK_WINDOWS = 1_000_000
+SORTED = 1 << 21
+HELD = 1 << 17
 RATE = 0.05
 SEED = 5
 
@@ -93,29 +102,47 @@ class Network:
         """Squared gradients before the first step."""
         return np.full(len(self.flat()), 1e-6, np.float32)
 
-    def train(self, context: np.ndarray, target: np.ndarray, seed: int, past: np.ndarray | None = None) -> None:
-        """One pass in batches, with steps scaled by past gradients (Adagrad), which are updated."""
+    def train(
+        self, context: np.ndarray, target: np.ndarray, seed: int, past: np.ndarray | None = None, n: np.ndarray | None = None
+    ) -> None:
+        """One pass in batches, with steps scaled by past gradients (Adagrad), which are updated.
+
+        ``n`` says how often each window occurs, where windows with the same neighbours lie side by side.
+        """
         past = self.past() if past is None else past
         value = self.flat().astype(np.float32)
         step = np.zeros_like(value)
         now, to = self.like(value), self.like(step)  # views
         parts, dparts = (n.hidden.reshape(2 * SIDE, WIDTH, HIDDEN) for n in (now, to))
+        if not len(target):
+            return
+        fresh = np.ones(len(target), bool)
+        if n is not None:
+            fresh[1:] = (context[1:] != context[:-1]).any(axis=1)
+        group, n = np.cumsum(fresh) - 1, np.ones(len(target)) if n is None else n
+        first, size, total = np.flatnonzero(fresh), np.bincount(group), np.bincount(group, n)
+        pieces = np.ceil(total / SHARED).astype(np.int64)
+        share, weight = (n / pieces[group]).astype(np.float32), (total / pieces).astype(np.float32)
+        order = np.random.default_rng(seed).permutation(np.repeat(np.arange(len(first)), pieces))
+        # places of the windows of each piece, piece after piece
+        ends = np.append(0, np.cumsum(size[order]))
+        at = np.arange(ends[-1]) + np.repeat(first[order] - ends[:-1], size[order])
+        target, share = target[at], share[at]
         # every neighbour is one of few classes: its products are looked up, and summed by class
-        context = context + np.arange(2 * SIDE) * (CLASSES + 1)
+        context = context[first] + np.arange(2 * SIDE) * (CLASSES + 1)
         slot = np.arange(BATCH)[:, None]
-        order = np.random.default_rng(seed).permutation(len(target))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
-            c, t, k = context[rows], target[rows], np.arange(len(rows))
+            own = slice(ends[lo], ends[lo + len(rows)])
+            c, k, whole = context[rows], np.repeat(slot[: len(rows), 0], size[rows]), weight[rows].sum()
             tables = (now.embedding @ parts).reshape(-1, HIDDEN)
             h = np.tanh(sum(tables[c[:, i]] for i in range(2 * SIDE)) + now.hidden_bias)
             z = h @ now.out
             z += now.out_bias
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[k, t] -= 1
-            z /= len(rows)
+            z *= (weight[rows] / (whole * z.sum(axis=1)))[:, None]
+            z[k, target[own]] -= share[own] / whole
             dh = (z @ now.out.T) * (1 - h * h)
             seen = np.zeros((len(rows), len(tables)), np.float32)
             seen[slot[: len(rows)], c] = 1
@@ -196,6 +223,77 @@ def near(held: bytes, sizes: np.ndarray) -> np.ndarray:
     return found
 
 
+def packed(found: np.ndarray) -> np.ndarray:
+    """Windows of classes as numbers, which sort by the neighbours first."""
+    code = np.zeros(len(found), np.uint32)
+    for i in [i for i in range(2 * SIDE + 1) if i != SIDE] + [SIDE]:
+        code = code * np.uint32(CLASSES + 1) + found[:, i].astype(np.uint32)
+    return code
+
+
+def unpacked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours and the word in the middle."""
+    code, target = np.divmod(code.astype(np.int64), CLASSES + 1)
+    return np.stack([code // (CLASSES + 1) ** i % (CLASSES + 1) for i in reversed(range(2 * SIDE))], axis=1), target
+
+
+def distinct(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(code) else order
+    return code[order][first], np.add.reduceat(n[order], first) if len(code) else n
+
+
+def counted(gathered: DataFrame, classes, tasks: int) -> DataFrame:
+    """(codes, n): the distinct windows of all blocks and how often each occurs, dealt by neighbours and written.
+
+    ``classes`` is the broadcast class of each bucket. A task sorts ``SORTED`` windows at a time; rows
+    hold about ``HELD`` distinct windows, chosen by a hash of their neighbours.
+    """
+
+    def dealt_to(code: np.ndarray, parts: int, shift: int = 0) -> np.ndarray:
+        return ((mix(code.astype(np.uint64) // np.uint64(CLASSES + 1)) >> np.uint64(shift)) % np.uint64(parts)).astype(np.int32)
+
+    def cut(part: np.ndarray, code: np.ndarray, n: np.ndarray):
+        order = np.argsort(part, kind="stable")
+        part, code, n = part[order], code[order].astype("<u4"), n[order].astype("<u8")
+        at = np.flatnonzero(np.append(True, np.diff(part) != 0))
+        for lo, hi in zip(at, np.append(at[1:], len(part)), strict=True):
+            yield int(part[lo]), code[lo:hi].tobytes(), n[lo:hi].tobytes()
+
+    kind = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
+
+    def rows(held: list[np.ndarray]):
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        for part, codes, counts in cut(dealt_to(code, tasks), code, n):
+            yield pa.RecordBatch.from_pylist([{"part": part, "codes": codes, "n": counts}], kind)
+
+    def deal(batches):
+        held, size = [], 0
+        for batch in batches:
+            for i in range(len(batch)):
+                found = packed(classes.value[near(batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy())])
+                held.append(found)
+                size += len(found)
+                if size >= SORTED:
+                    yield from rows(held)
+                    held, size = [], 0
+        if size:
+            yield from rows(held)
+
+    def merge(batches):
+        codes, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
+        for batch in batches:
+            codes += [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
+            n += [np.frombuffer(x.as_py(), "<u8") for x in batch.column(2)]
+        code, number = distinct(np.concatenate(codes), np.concatenate(n))
+        if len(code):
+            for _, codes, counts in cut(dealt_to(code, -(-len(code) // HELD), 32), code, number):
+                yield pa.RecordBatch.from_pylist([{"codes": codes, "n": counts}], pa.schema([kind.field("codes"), kind.field("n")]))
+
+    dealt = gathered.where("windows is not null").select("windows", "sizes").mapInArrow(deal, "part int, codes binary, n binary")
+    return stage(dealt.repartition(tasks, "part").mapInArrow(merge, "codes binary, n binary"))
+
+
 def class_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each bucket, log share in its class, and share of each class (add-one)."""
     frequent = np.argsort(-counts, kind="stable")[:FREQUENT]
@@ -215,19 +313,19 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
         counts[r["bucket"]] = r["n"]
     of, within, share = class_of(counts)
     network = Network.start(share)
-    classes = np.append(of, CLASSES)
+    tasks = max(1, -(-int(counts.sum()) // TASK_WINDOWS))
+    held = counted(gathered, spark.sparkContext.broadcast(np.append(of, CLASSES)), tasks) if rounds else gathered
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((network, classes))
+        shared = spark.sparkContext.broadcast(network)
 
         def run(batches, number=number, shared=shared):
-            start, classes = shared.value
-            own = start.like(start.flat().copy())
+            own = shared.value.like(shared.value.flat().copy())
             seen, past = 0, own.past()
             for batch in batches:
                 for i in range(len(batch)):
-                    found = classes[near(batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy())]
-                    own.train(np.delete(found, SIDE, axis=1), found[:, SIDE], SEED + number, past)
-                    seen += len(found)
+                    n = np.frombuffer(batch.column(1)[i].as_py(), "<u8").astype(np.int64)
+                    own.train(*unpacked(np.frombuffer(batch.column(0)[i].as_py(), "<u4")), SEED + number, past, n)
+                    seen += int(n.sum())
             if seen:
                 values = own.flat()
                 yield pa.RecordBatch.from_arrays(
@@ -235,7 +333,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
                     ["place", "value", "n"],
                 )
 
-        rows = gathered.where("windows is not null").select("windows", "sizes").mapInArrow(run, "place int, value double, n long")
+        rows = held.mapInArrow(run, "place int, value double, n long")
         means = rows.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).collect()
         if not means:
             break

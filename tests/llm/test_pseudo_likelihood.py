@@ -1,5 +1,7 @@
 """The fast sums against word-by-word computation, gradients, and what training gains."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -120,3 +122,39 @@ def test_steps_equal_the_plain_gradient():
     net.train(context, target, 0, past)
     want = np.concatenate([g.ravel() for g in (de, x.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0))])
     assert np.sqrt(np.maximum(past - 1e-6, 0)) == pytest.approx(np.abs(want), rel=1e-3, abs=1e-5)
+
+
+def test_equal_windows_are_counted_and_dealt_by_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(P, "SORTED", 500)
+    monkeypatch.setattr(P, "HELD", 100)
+    docs = corpus(spark, 20)
+    gathered, of = P.gather(docs), P.class_of(np.arange(P.BUCKETS)[::-1])[0]
+    classes = np.append(of, P.CLASSES)
+    held = P.counted(gathered, spark.sparkContext.broadcast(classes), 2).collect()
+    got, places = Counter(), {}
+    for place, r in enumerate(held):
+        context, target = P.unpacked(np.frombuffer(r.codes, "<u4"))
+        for c, t, n in zip(context.tolist(), target.tolist(), np.frombuffer(r.n, "<u8").tolist(), strict=True):
+            got[*c[: P.SIDE], t, *c[P.SIDE :]] += n
+            assert places.setdefault(tuple(c), place) == place
+    want = Counter()
+    for r in gathered.where("windows is not null").collect():
+        want.update(map(tuple, classes[P.near(r.windows, np.array(r.sizes))].tolist()))
+    assert got == want and len(held) > 2
+
+
+@pytest.mark.parametrize("shared", [8, 1_000])
+def test_windows_with_the_same_neighbours_share_a_step(monkeypatch, shared):
+    monkeypatch.setattr(P, "SHARED", shared)
+    rnd = np.random.default_rng(3)
+    kinds = np.unique(rnd.integers(0, P.CLASSES, (6, 4)), axis=0)
+    context, target, n = kinds.repeat(2, axis=0), np.tile([3, 9], len(kinds)), rnd.integers(1, 8, 2 * len(kinds))
+
+    def gradient(*windows, n=None):
+        net = P.Network.start(np.full(P.CLASSES, 1 / P.CLASSES))
+        past = net.past()
+        net.train(*windows, 0, past, n)
+        return np.sqrt(np.maximum(past - 1e-6, 0))
+
+    every = np.repeat(np.arange(len(n)), n)
+    assert gradient(context, target, n=n) == pytest.approx(gradient(context[every], target[every]), rel=1e-3, abs=1e-5)
