@@ -8,11 +8,7 @@ from pyspark.sql import functions as F
 from nightledger.functions.numeric import clip, upper_clip
 from nightledger.functions.parsing import first_number, parse_as, parse_price, rejected, strip_breaks
 from nightledger.operators.quantiles import column_quantiles, exact_quantiles
-from nightledger.operators.ranking import (
-    first_per_key,
-    first_per_key_placed,
-    first_per_key_wide,
-)
+from nightledger.operators.ranking import first_per_key_placed, first_per_key_wide
 from nightledger.operators.scalars import with_values
 from nightledger.schemas import CALENDAR_REQUIRED, LISTING_COLUMNS, MEDIAN_FILLED, MONEY, REJECTED, ROW
 
@@ -144,7 +140,7 @@ def cap_iqr(df: DataFrame, column: str, k: float = 1.5, source: DataFrame | None
 
 def surviving_listings(typed: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Priced listings, one row per id."""
-    return first_per_key(typed.dropna(subset=["price"]), ["id"], _row_order(typed, order))
+    return first_per_key_wide(typed.dropna(subset=["price"]), ["id"], _row_order(typed, order))
 
 
 def clean_listings(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -200,7 +196,16 @@ def fill_listing_median(cal: DataFrame) -> DataFrame:
     first and broadcast up to ``BROADCAST_IDS``; Spark's own estimate comes from the size of
     all nights, and it would shuffle (listing, price) of every priced night before it knew better.
     """
-    priced = cal.where(F.col("price").isNotNull())
+    return priced_nights(cal).unionByName(closed_gaps(cal))
+
+
+def priced_nights(cal: DataFrame) -> DataFrame:
+    return cal.where(F.col("price").isNotNull())
+
+
+def closed_gaps(cal: DataFrame) -> DataFrame:
+    """Only the nights of ``fill_listing_median`` that had no price."""
+    priced = priced_nights(cal)
     gaps = cal.where(F.col("price").isNull())
     gappy = gaps.select("listing_id").distinct()
     if gappy.count() <= BROADCAST_IDS:
@@ -209,8 +214,7 @@ def fill_listing_median(cal: DataFrame) -> DataFrame:
         priced.join(gappy, "listing_id", "left_semi"), "price", {"_median": 0.5}, by=["listing_id"]
     )
     filled = F.coalesce(F.col("_median").cast(MONEY), F.lit(0).cast(MONEY))
-    closed = gaps.join(medians, "listing_id", "left").withColumn("price", filled)
-    return priced.unionByName(closed.drop("_median"))
+    return gaps.join(medians, "listing_id", "left").withColumn("price", filled).drop("_median")
 
 
 def type_calendar(raw: DataFrame, listing_prices: DataFrame | None = None) -> DataFrame:

@@ -71,6 +71,22 @@ def listing_metrics(monthly: DataFrame) -> DataFrame:
     return kpis(sums)
 
 
+def night_metrics(cal: DataFrame) -> DataFrame:
+    """``listing_metrics`` from the nights themselves, where a listing's nights lie together in the
+    files: sums made before the shuffle are then about as many as the listings."""
+    booked, price = ~F.col("available"), F.col("price")
+    sums = cal.groupBy(F.col("listing_id").alias("id")).agg(
+        F.count("date").alias("total_nights_tracked"),
+        F.count_if(booked).alias("booked_nights"),
+        F.min("date").alias("calendar_start"),
+        F.max("date").alias("calendar_end"),
+        F.coalesce(F.sum(F.when(booked, price)), F.lit(0)).cast(MONEY).alias("revenue_estimate"),
+        F.sum(F.when(F.col("available"), price)).alias("open_price_sum"),
+        F.count(F.when(F.col("available"), price)).alias("open_nights"),
+    )
+    return kpis(sums)
+
+
 def kpis(sums: DataFrame) -> DataFrame:
     """Occupancy, ADR, RevPAR and the open price of listings whose sums are known."""
     booked, tracked = F.col("booked_nights"), F.col("total_nights_tracked")

@@ -128,11 +128,14 @@ def fact_performance(performance: DataFrame, valuation: DataFrame, listings: Dat
 def fact_calendar(calendar_daily: DataFrame, listings: DataFrame) -> DataFrame:
     """Nights with keys, IsBooked and BookedRevenue.
 
-    YearMonth is the column the written fact is partitioned by.
+    YearMonth is the column the written fact is partitioned by: nights are rebalanced by month
+    before the columns that follow from others are added.
     """
     booked = F.col("IsAvailable") == 0
+    keyed = _with_keys(calendar_daily, listings).withColumn("_month", F.trunc("calendar_date", "month"))
     return (
-        _with_keys(calendar_daily, listings)
+        keyed.hint("rebalance", "_month")
+        .drop("_month")
         .withColumnsRenamed(
             {
                 "listing_id": "ListingKey",

@@ -33,7 +33,7 @@ def _folder(w, name: str) -> str:
 def _digested(w, reviews: DataFrame) -> DataFrame:
     """Whole texts are compared by digest and length; of a text that reviews share both are found once."""
     text = parsing.strip_breaks(F.col("comments")) if TEXT in reviews.columns else F.col("comments")
-    found = w.quoted(reviews, comments_md5=F.md5(F.encode(text, "UTF-8")), comments_length=F.length(text))
+    found = w.quoted(reviews, short=True, comments_md5=F.md5(F.encode(text, "UTF-8")), comments_length=F.length(text))
     return found.drop("comments")
 
 
@@ -411,6 +411,7 @@ def d08_fact_review_scores(w):
 
 
 def d09_star_integrity(w):
+    w["review_rows"]  # first, as raw listings count them
     return star.star_integrity(w.star())
 
 

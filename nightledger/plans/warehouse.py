@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightledger.operators import audit, clean, features, normalize, star
+from nightledger.operators.ranking import held
 from nightledger.functions.parsing import strip_breaks
 from nightledger.schemas import LISTING_COLUMNS, ROW, TABLES, TEXT, with_provenance
 from nightledger.session import shared_dir
@@ -59,9 +60,12 @@ class Warehouse:
         self._counts: dict[str, dict[str, int]] = {}
 
     # Stages that are written, and the column a stage is partitioned by.
-    PARTITIONED = {"calendar_clean": "year_month", "fact_calendar": "YearMonth"}
+    PARTITIONED = {"fact_calendar": "YearMonth"}
+    # Of these, stages that are rebalanced by that column while they have few columns.
+    REBALANCED = {"fact_calendar"}
     # Plain projections of a written stage.
     UNWRITTEN = {
+        "calendar_clean",
         "calendar_daily",
         "monthly_agg",
         "raw_reviews",
@@ -79,7 +83,7 @@ class Warehouse:
             if name not in self.UNWRITTEN:
                 path = os.path.join(self.root, name)
                 table, counts = self._watched(name, df)
-                seen = write_stage(df, path, self.PARTITIONED.get(name), counts)
+                seen = write_stage(df, path, self.PARTITIONED.get(name), counts, name in self.REBALANCED)
                 if seen:
                     self._counts[table] = seen
                 df = read_stage(self.spark, path, df.schema)
@@ -88,18 +92,20 @@ class Warehouse:
 
     def tables(self) -> dict[str, DataFrame]:
         """The eight normalised tables."""
+        self["review_rows"]  # first, as raw listings count them
         return {t: self[t] for t in TABLES}
 
     def audited(self) -> dict[str, DataFrame]:
         """The eight tables for audits, which don't look at the texts of reviews."""
         return {t: self["review_keys" if t == "reviews" else t] for t in TABLES}
 
-    def quoted(self, reviews: DataFrame, **columns: Column) -> DataFrame:
-        """Reviews with columns made of ``comments``, once for each text where they share texts."""
+    def quoted(self, reviews: DataFrame, short: bool = False, **columns: Column) -> DataFrame:
+        """Reviews with columns made of ``comments``, once for each text where they share texts;
+        ``short`` says that the columns may be broadcast."""
         if TEXT not in reviews.columns:
             return reviews.withColumns(columns)
         texts = self["texts"].select(TEXT, *[c.alias(name) for name, c in columns.items()])
-        return reviews.join(texts, TEXT, "left").drop(TEXT)
+        return reviews.join(held(texts) if short else texts, TEXT, "left").drop(TEXT)
 
     def _watched(self, name: str, df: DataFrame):
         if name.startswith("raw_") or name == "review_rows":
@@ -114,6 +120,11 @@ class Warehouse:
     def counts(self) -> dict[str, dict[str, int]]:
         """What was counted while the eight tables were written."""
         self.tables()
+        if "calendar_daily" not in self._counts:
+            # the nights are no table of their own: one pass over them, without a shuffle
+            table, counts = audit.watched("calendar_clean")
+            seen = self["calendar_clean"].agg(*[c.alias(f"c{i}") for i, c in enumerate(counts.values())])
+            self._counts[table] = dict(zip(counts, seen.first()))
         return {t: self._counts[t] for t in TABLES}
 
     def dropped_rows(self) -> DataFrame:
@@ -150,6 +161,8 @@ class Warehouse:
 
         def raw(name: str) -> DataFrame:
             more = [w["texts"]] if name == "reviews" else []
+            if name == "listings" and "review_rows" in w._stages:
+                more = [w["review_rows"]]
             return binding.RAW[name](spark, sf_dir, *more)
 
         w = cls(spark, raw, binding.AS_OF, order)
@@ -190,14 +203,19 @@ class Warehouse:
         return clean.clean_typed_listings(self["listings_typed"], self.order.get("listings"))
 
     def _calendar_typed(self) -> DataFrame:
-        raw, own = self["raw_calendar"], None
+        # raw nights are a stage only for those who ask for them
+        raw, own = self["raw_calendar"] if "raw_calendar" in self._stages else self.raw("calendar"), None
         if not {"price", "adjusted_price"} & set(raw.columns):
             own = self["listings_clean"].select("id", "price")
         return clean.type_calendar(raw, own).drop("adjusted_price")
 
     def _calendar_clean(self) -> DataFrame:
-        nights = clean.clean_typed_calendar(self["calendar_typed"])
-        return nights.withColumn("year_month", F.date_format("date", "yyyy-MM"))
+        nights = clean.priced_nights(self["calendar_typed"]).unionByName(self["calendar_gaps"])
+        known = nights.dropna(subset=["date", "available"])
+        return known.withColumn("year_month", F.date_format("date", "yyyy-MM"))
+
+    def _calendar_gaps(self) -> DataFrame:
+        return clean.closed_gaps(self["calendar_typed"])
 
     def _reviews_kept(self) -> DataFrame:
         raw = self["review_rows"]
@@ -216,7 +234,7 @@ class Warehouse:
         return features.monthly_aggregate(self["monthly"])
 
     def _metrics(self) -> DataFrame:
-        return features.listing_metrics(self["monthly"])
+        return features.night_metrics(self["calendar_clean"])
 
     def _master(self) -> DataFrame:
         listings = self["listings_clean"]
@@ -264,8 +282,8 @@ class Warehouse:
 
     def _dim_date(self) -> DataFrame:
         return star.dim_date(
-            self["monthly"].agg(
-                F.min("first_night").alias("first_night"), F.max("last_night").alias("last_night")
+            self["metrics"].agg(
+                F.min("calendar_start").alias("first_night"), F.max("calendar_end").alias("last_night")
             )
         )
 

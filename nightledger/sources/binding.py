@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightledger.operators.features import dealt_by
+from nightledger.operators.ranking import held
 from nightledger.schemas import TEXT
 
 # Labels and the day all ages are counted to.
@@ -53,7 +55,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None
         .join(given(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("wanted_doc", F.col("o_orderkey") % size.scalar())
     )
-    return orders.join(documents, F.col("wanted_doc") == F.col("doc_id"), "left").select(
+    return orders.join(held(documents), F.col("wanted_doc") == F.col("doc_id"), "left").select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("m.l_partkey").cast("string").alias("listing_id"),
         F.col("o_custkey").cast("string").alias("reviewer_id"),
@@ -64,18 +66,20 @@ def raw_reviews(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None
 
 
 def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nights in the order of exports, where a listing's nights lie together: lines are dealt by
+    listing alone, which also serves the join with parts."""
     part = given(spark, sf_dir, "part").select("p_partkey", _base_price().alias("bp"))
     lines = given(spark, sf_dir, "lineitem").select(
         "l_partkey",
         F.col("l_shipdate").cast("date").alias("night"),
         "l_linenumber",
-        "l_returnflag",
+        (F.col("l_returnflag") == "R").alias("returned"),
         (F.col("l_tax") - F.col("l_discount")).alias("swing"),
     )
     # The largest swing gives the largest price of the night, so the price is computed
     # once per night after the grouping.
-    nights = lines.groupBy("l_partkey", "night").agg(
-        F.max((F.col("l_returnflag") == "R").cast("int")).alias("booked"),
+    nights = dealt_by(lines, "l_partkey").groupBy("l_partkey", "night").agg(
+        F.max(F.col("returned").cast("int")).alias("booked"),
         F.sum("l_linenumber").alias("lines"),
         F.max("swing").alias("swing"),
     )
@@ -92,8 +96,11 @@ def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings as exported, plus ``copy``, the place of a row among its duplicates."""
+def raw_listings(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
+    """Listings as exported, plus ``copy``, the place of a row among its duplicates.
+
+    ``reviews`` are the raw reviews where these have been written already.
+    """
     fields = [
         "l_shipdate",
         "l_orderkey",
@@ -124,7 +131,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("host_listings")
     )
     reviews = (
-        raw_reviews(spark, sf_dir)
+        (raw_reviews(spark, sf_dir) if reviews is None else reviews)
         .select("listing_id", F.col("date").cast("date").alias("d"))
         .groupBy(F.col("listing_id").cast("bigint").alias("reviewed"))
         .agg(
