@@ -185,15 +185,21 @@ def _by_rule(found: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
     )
 
 
+#: Days of a year that one number holds as bits.
+DAY_BITS = 62
+
+
 def _repeated_days(df: DataFrame, by: list[str], day: str) -> DataFrame:
-    """Rows beyond the first of each (by, day): a month's days are the bits of a number, so a
-    row per month is shuffled instead of one per day."""
-    bit = F.expr(f"shiftleft(1L, dayofmonth({day}))")
-    groups = df.groupBy(*by, F.trunc(day, "month").alias("_month")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or(bit)).alias("days")
-    )
+    """Rows beyond the first of each (by, day): a year's days are the bits of six numbers, so a
+    row per year is shuffled instead of one per day."""
+    place = F.dayofyear(day) - 1
+    bit = F.expr(f"shiftleft(1L, (dayofyear({day}) - 1) % {DAY_BITS})")
+    words = [F.bit_or(F.when(F.floor(place / DAY_BITS) == i, bit)).alias(f"w{i}") for i in range(-(-366 // DAY_BITS))]
+    groups = df.groupBy(*by, F.year(day).alias("_year")).agg(F.count(F.lit(1)).alias("n"), *words)
+    found = [F.coalesce(F.bit_count(f"w{i}"), F.lit(0)) for i in range(len(words))]
     # days that are missing are alike
-    return groups.select((F.col("n") - F.coalesce("days", F.lit(1))).alias("violations"))
+    days = F.when(F.col("_year").isNull(), 1).otherwise(reduce(Column.__add__, found))
+    return groups.select((F.col("n") - days).alias("violations"))
 
 
 def uniqueness_audit(tables: Tables) -> DataFrame:

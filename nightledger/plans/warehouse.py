@@ -97,6 +97,7 @@ class Warehouse:
 
     def audited(self) -> dict[str, DataFrame]:
         """The eight tables for audits, which don't look at the texts of reviews."""
+        self["review_rows"]  # first, as in ``tables``
         return {t: self["review_keys" if t == "reviews" else t] for t in TABLES}
 
     def quoted(self, reviews: DataFrame, short: bool = False, **columns: Column) -> DataFrame:
@@ -228,7 +229,9 @@ class Warehouse:
         return self.quoted(kept, comments=strip_breaks(F.col("comments"))) if TEXT in kept.columns else kept
 
     def _monthly(self) -> DataFrame:
-        return features.monthly_sums(self["calendar_clean"])
+        sums = features.monthly_sums(self["calendar_clean"])
+        # metrics come from the nights; no other stage reads the rest
+        return sums.drop("open_price_sum", "open_nights", "first_night", "last_night")
 
     def _monthly_agg(self) -> DataFrame:
         return features.monthly_aggregate(self["monthly"])

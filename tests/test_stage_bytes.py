@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from nightledger.operators import clean, features, ranking
+from nightledger.operators import audit, clean, features, ranking
 from nightledger.plans.warehouse import Warehouse
 
 DAY = dt.datetime(2001, 5, 1)
@@ -42,7 +42,9 @@ def test_metrics_need_neither_raw_nights_nor_months(spark, tmp_path):
     written = set(w._stages) - w.UNWRITTEN
     assert not written & {"raw_calendar", "monthly", "calendar_clean"}
     assert {"calendar_typed", "calendar_gaps"} <= written
-    assert from_nights == rows(features.listing_metrics(w["monthly"])) and len(from_nights) == 6
+    from_months = features.listing_metrics(features.monthly_sums(w["calendar_clean"]))
+    assert from_nights == rows(from_months) and len(from_nights) == 6
+    assert "open_price_sum" not in w["monthly"].columns
 
 
 def test_a_listing_lies_in_one_part_of_the_typed_nights(spark, tmp_path):
@@ -81,3 +83,14 @@ def test_repeated_keys_are_joined_by_shuffle_beyond_the_bound(frame, monkeypatch
             ranking.first_per_key_wide(df, ["id"], [F.col("n").asc()]),
         ):
             assert [r.t for r in first.orderBy("id").collect()] == want
+
+
+def test_days_of_a_year_are_bits_of_few_numbers(frame):
+    year = [DAY.date().replace(month=1, day=1, year=2000) + dt.timedelta(days=i) for i in range(500)]
+    twice = [year[0], year[61], year[62], year[365], year[366], year[366], None, None]
+    nights = frame([(7, d) for d in year] + [(7, d) for d in twice] + [(None, year[3])] * 2, "id int, d date")
+    found = audit._repeated_days(nights, ["id"], "d")
+    # six days again and one missing day, and one more of the listing that is missing
+    assert found.agg(F.sum("violations")).first()[0] == 6 + 1 + 1
+    # a row per listing and year, and one for the missing days
+    assert found.count() == 4
