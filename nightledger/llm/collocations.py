@@ -8,8 +8,10 @@ the next word's number. A last pass over all texts advances the states of every
 block at once, digit by digit, and bincounts the accepting ones; Spark adds the tasks' counts.
 
 A trie takes at most RADIX + 2 * digits slots of 12 bytes for each of ``PHRASES`` candidates.
-Where there are more candidates, or more than ``WORDS`` frequent words, the phrases are counted
-by a plain shuffle of all phrases instead (``counted_by_shuffle``), with the same result.
+Where there are more candidates, the sums that find them are the counts (``counted_by_numbers``): a
+triple is three word numbers in one, and most of those with a rare pair are left out by a bitmap of
+fixed size that holds all frequent pairs. Where there are more than ``WORDS`` frequent words, the phrases
+are counted by a plain shuffle of all phrases (``counted_by_shuffle``). Each way has the same result.
 
 Scores are products of decimals with 38 digits: exact while 1000000 * a * a is below 1e38.
 
@@ -36,9 +38,12 @@ from .storage import cut, stage
 LEAST = 10
 INSIDE = 50
 TOP = 2000
-#: Frequent words, and candidates, that a task holds.
+#: Frequent words, and candidates, that a task holds. A word's number has BITS, so that three fit into a long.
 WORDS = 2_000_000
 PHRASES = 2_000_000
+BITS = 21
+#: Binary logarithm of the bits that tell which pairs may be frequent (32 MB).
+SIEVE = 28
 RADIX = 16
 #: Bytes of text that are turned into arrays at once (a longer text is a block alone).
 BLOCK_BYTES = 1 << 22
@@ -239,20 +244,78 @@ def _summed(rows: DataFrame, step, least: int) -> DataFrame:
 
 def _listed(found: DataFrame, bound: int) -> np.ndarray | None:
     """The keys, sorted; None if there are more than bound."""
-    held = cut(found.select("key"))
-    if held.count() > bound:
+    if found.count() > bound:
         return None
-    return np.sort(held.toArrow().column("key").to_numpy())
+    return np.sort(found.select("key").toArrow().column("key").to_numpy())
 
 
 def _halves(key: np.ndarray) -> np.ndarray:
     return np.stack([key >> 32, key & 0xFFFFFFFF], axis=1)
 
 
+def _spelled(phrases: DataFrame, numbers, vocabulary) -> DataFrame:
+    """(lang, phrase, k, a) of (key, n); numbers: keys to places and word numbers, for k = 2 and 3."""
+
+    def run(batches):
+        known, langs = vocabulary.value.listed, vocabulary.value.langs
+        for batch in batches:
+            for k, (at, words) in enumerate(numbers(batch.column(0).to_numpy()), 2):
+                if not len(at):
+                    continue
+                phrase = pc.binary_join_element_wise(*(known.take(pa.array(words[:, j])) for j in range(k)), pa.scalar(b" ", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(words[:, 0])), _as_text(phrase), pa.array(np.full(len(at), k, np.int32)), batch.column(1).take(pa.array(at))],
+                    ["lang", "phrase", "k", "a"],
+                )
+
+    return phrases.mapInArrow(run, "lang string, phrase string, k int, a long")
+
+
+def _bit(pair: np.ndarray) -> np.ndarray:
+    """The place of a pair in the sieve."""
+    return (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SIEVE)).astype(np.int64)
+
+
+def sieve(pairs: DataFrame) -> np.ndarray:
+    """Bytes with a bit for each of the pairs (key), of a fixed size however many there are."""
+
+    def run(batches):
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.int64(1) << (bit & 63))], ["at", "bits"])
+
+    rows = pairs.select("key").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(1 << SIEVE - 6, np.int64)
+    held[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return held
+
+
+def counted_by_numbers(rows: DataFrame, numbered, found: DataFrame, vocabulary, least: int) -> DataFrame:
+    """(lang, phrase, k, a) by sums of packed word numbers, for any number of phrases; found: (key, n) of the frequent pairs."""
+    may = rows.sparkSession.sparkContext.broadcast(sieve(found))
+
+    def triples(batches):
+        for number, joined in numbered(batches):
+            at = _pairs(number, joined)
+            bit = _bit(number[at] << 32 | number[at + 1])
+            at = at[may.value[bit >> 6] >> (bit & 63) & 1 == 1]
+            at = at[:-1][np.diff(at) == 1]  # a pair at a word and at the next one
+            yield np.unique(number[at] << 2 * BITS | number[at + 1] << BITS | number[at + 2], return_counts=True)
+
+    def two(key):
+        return [(np.arange(len(key)), _halves(key))]
+
+    def three(key):
+        words = np.stack([key >> 2 * BITS, key >> BITS & (1 << BITS) - 1, key & (1 << BITS) - 1], axis=1)
+        return [(np.zeros(0, np.int64), None), (np.arange(len(key)), words)]
+
+    return _spelled(found, two, vocabulary).unionAll(_spelled(_summed(rows, triples, least), three, vocabulary))
+
+
 def counted_by_tries(rows: DataFrame, frequent: DataFrame, least: int, n_words: int, n_phrases: int) -> DataFrame | None:
-    """(lang, phrase, k, a) of the phrases of 2 and 3 words; None if a bound is passed."""
+    """(lang, phrase, k, a) of the phrases of 2 and 3 words, beyond ``n_phrases`` by ``counted_by_numbers``; None beyond ``n_words``."""
     context = rows.sparkSession.sparkContext
-    if frequent.count() > n_words:
+    if frequent.count() > min(n_words, 1 << BITS):
         return None
     vocabulary = Vocabulary(frequent.orderBy("lang", F.desc("n"), "word").select("lang", "word").toArrow())
     size = len(vocabulary.listed)
@@ -268,9 +331,10 @@ def counted_by_tries(rows: DataFrame, frequent: DataFrame, least: int, n_words:
             at = _pairs(number, joined)
             yield np.unique(number[at] << 32 | number[at + 1], return_counts=True)
 
-    found = _listed(_summed(rows, pairs, least), n_phrases)
+    of_two = cut(_summed(rows, pairs, least))
+    found = _listed(of_two, n_phrases)
     if found is None:
-        return None
+        return counted_by_numbers(rows, numbered, of_two, shared, least)
     two = _halves(found)
     of_pairs = context.broadcast(Trie(size, two, np.zeros((0, 2), np.int64)))
 
@@ -282,10 +346,11 @@ def counted_by_tries(rows: DataFrame, frequent: DataFrame, least: int, n_words:
             at, state = at[both], state[both]
             yield np.unique(trie.index[state].astype(np.int64) << 32 | number[at + 2], return_counts=True)
 
-    found = _listed(_summed(rows, triples, least), n_phrases - len(two))
+    of_three = cut(_summed(rows, triples, least))
+    found = _listed(of_three, n_phrases - len(two))
     of_pairs.unpersist()
     if found is None:
-        return None
+        return counted_by_numbers(rows, numbered, of_two, shared, least)
     three = _halves(found)
     trie = context.broadcast(Trie(size, two, three))
 
@@ -301,22 +366,14 @@ def counted_by_tries(rows: DataFrame, frequent: DataFrame, least: int, n_words:
 
     listed = context.broadcast((two, three))
 
-    def spelled(batches):
+    def numbers(key):
         two, three = listed.value
-        known, langs = shared.value.listed, shared.value.langs
-        for batch in batches:
-            key = batch.column(0).to_numpy()
-            for k, own in ((2, key < len(two)), (3, key >= len(two))):
-                if not own.any():
-                    continue
-                numbers = two[key[own]] if k == 2 else np.hstack([two[three[key[own] - len(two), 0]], three[key[own] - len(two), 1:]])
-                phrase = pc.binary_join_element_wise(*(known.take(pa.array(numbers[:, j])) for j in range(k)), pa.scalar(b" ", pa.large_binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(numbers[:, 0])), _as_text(phrase), pa.array(np.full(own.sum(), k, np.int32)), batch.column(1).filter(pa.array(own))],
-                    ["lang", "phrase", "k", "a"],
-                )
+        for own in (key < len(two), key >= len(two)):
+            at = np.flatnonzero(own)
+            triple = three[key[at] - len(two)] if len(at) and key[at[0]] >= len(two) else None
+            yield at, two[key[at]] if triple is None else np.hstack([two[triple[:, 0]], triple[:, 1:]])
 
-    return _summed(rows, counts, least).mapInArrow(spelled, "lang string, phrase string, k int, a long")
+    return _spelled(_summed(rows, counts, least), numbers, shared)
 
 
 def counted_by_shuffle(rows: DataFrame, least: int) -> DataFrame:

@@ -135,3 +135,25 @@ def test_odd_rows(spark):
     assert got == plain([(r["lang"], r["text"]) for r in odd.collect()]) and got
     assert found(odd.limit(0)) == []
     assert found(frame_of(spark, [("en", None), ("en", " .,"), (None, "one")])) == []
+
+
+def test_many_phrases_are_counted_by_numbers(spark, monkeypatch):
+    rows = some_texts()
+    frame, want = frame_of(spark, rows), plain(rows)
+
+    def refused(*_):
+        raise AssertionError("phrases were shuffled as texts")
+
+    monkeypatch.setattr(C, "counted_by_shuffle", refused)
+    phrases = C.collocations(frame, top=10**6).count()
+    for bound in (0, phrases // 2, 2 * phrases):
+        assert found(frame, n_phrases=bound) == want
+
+
+def test_sieve_holds_all_pairs(spark):
+    pairs = np.unique(np.random.default_rng(4).integers(0, 1 << 53, 5000))
+    held = C.sieve(spark.createDataFrame([(int(p), 1) for p in pairs], "key long, n long"))
+    bit = C._bit(pairs)
+    assert bit.min() >= 0 and bit.max() < 1 << C.SIEVE and len(held) == 1 << C.SIEVE - 6
+    assert (held[bit >> 6] >> (bit & 63) & 1 == 1).all()
+    assert sum(int(x).bit_count() for x in held[held != 0].view(np.uint64)) == len(np.unique(bit))
